@@ -7,7 +7,7 @@ stay where they were.  Only the slot totals (one row a slot, a fixed number)
 reach the driver; texts are never shuffled.
 
 Equal texts hash to one slot and so to one shard.  A group of equal texts whose
-bytes exceed a small part of a shard is dealt over all slots by record instead;
+bytes exceed half a shard is dealt over all slots by record instead;
 there can be only ``shards * GROUP_PARTS`` such groups, a bound on what is
 broadcast.
 
@@ -32,7 +32,7 @@ SLOTS = 8192
 #: Bytes counted for a record besides its text.
 OVERHEAD = 16
 #: A group of equal texts above 1/GROUP_PARTS of a shard's mean is dealt out.
-GROUP_PARTS = 16
+GROUP_PARTS = 2
 #: Rebalancing stops when the shards' bytes lie within this part of their mean.
 TOLERANCE = 0.001
 
