@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeflow.llm import decontamination, mixing, quality, sharding
+from gaugeflow.llm import decontamination, fingerprints, mixing, quality, sharding, warc
 from gaugeflow.llm.runtime import prepare, scratch_path
 
 SHARDS = 40
@@ -29,6 +29,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -38,5 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op4_decontamination": op4_decontamination,
         "op6_quality": op6_quality,
+        "op7_warc": op7_warc,
+        "op8_fingerprints": op8_fingerprints,
         "op10_mixing": op10_mixing,
     }
