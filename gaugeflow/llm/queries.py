@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeflow.llm import decontamination, fingerprints, mixing, quality, sharding, warc
+from gaugeflow.llm import decontamination, fingerprints, mixing, ngram_join, quality, sharding, warc
 from gaugeflow.llm.runtime import prepare, scratch_path
 
 SHARDS = 40
@@ -25,6 +25,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ngram_join.components(docs, words=4, percent=85).drop("class_id")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op4_decontamination": op4_decontamination,
+        "op5_ngram_join": op5_ngram_join,
         "op6_quality": op6_quality,
         "op7_warc": op7_warc,
         "op8_fingerprints": op8_fingerprints,
