@@ -91,5 +91,55 @@ FROM w LEFT JOIN n USING (doc_id)
 """
 
 
+OP2 = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place
+  FROM documents),
+long AS (SELECT * FROM lines WHERE length(line) >= 20),
+firsts AS (
+  SELECT line, doc_id, place, length(line) AS n, row_number() OVER (ORDER BY doc_id, place) AS rk
+  FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, place) AS o FROM long) WHERE o = 1),
+near AS (
+  SELECT DISTINCT a.line FROM (SELECT *, unnest([n - 1, n, n + 1]) AS m FROM firsts) a JOIN firsts b
+  ON b.n = a.m AND b.rk < a.rk
+  AND CASE WHEN left(a.line, 8) = left(b.line, 8) OR right(a.line, 8) = right(b.line, 8)
+           THEN levenshtein(a.line, b.line) <= 1 ELSE false END),
+kept AS (
+  SELECT doc_id, place FROM firsts WHERE line NOT IN (SELECT line FROM near)
+  UNION ALL SELECT doc_id, place FROM lines WHERE length(line) < 20),
+texts AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY place) AS t
+  FROM kept JOIN lines USING (doc_id, place) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines,
+       coalesce(n_kept, 0)::BIGINT AS n_kept, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN texts USING (doc_id)
+"""
+
+#: Pages without links between them, as those of the tables, have no aliases.
+OP9 = r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+u AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(rest, '^[^/?#]*'),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM p),
+rules(action, h, pre) AS (
+  VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+fit AS (
+  SELECT page_id, h || pre AS rule, action, row_number() OVER (PARTITION BY page_id ORDER BY length(h || pre) DESC) AS o
+  FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre))
+SELECT u.page_id, host, path, rule, coalesce(action, 'allow') AS verdict
+FROM u LEFT JOIN (SELECT * FROM fit WHERE o = 1) f USING (page_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4, "op5_ngram_join": OP5, "op10_mixing": OP10}
+    return {
+        "op2_line_dedup": OP2,
+        "op4_decontamination": OP4,
+        "op5_ngram_join": OP5,
+        "op9_url_filters": OP9,
+        "op10_mixing": OP10,
+    }

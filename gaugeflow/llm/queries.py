@@ -6,10 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeflow.llm import decontamination, fingerprints, mixing, ngram_join, quality, sharding, warc
+from gaugeflow.llm import (
+    decontamination,
+    fingerprints,
+    line_dedup,
+    mixing,
+    ngram_join,
+    quality,
+    sharding,
+    url_filters,
+    warc,
+)
 from gaugeflow.llm.runtime import prepare, scratch_path
 
 SHARDS = 40
+#: (action, host, path) of the URL rules.
+URL_RULES = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +38,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, SHARDS, map_path=scratch_path(spark, "slot-map"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +63,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.report(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return url_filters.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -49,10 +75,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_line_dedup": op2_line_dedup,
         "op4_decontamination": op4_decontamination,
         "op5_ngram_join": op5_ngram_join,
         "op6_quality": op6_quality,
         "op7_warc": op7_warc,
         "op8_fingerprints": op8_fingerprints,
+        "op9_url_filters": op9_url_filters,
         "op10_mixing": op10_mixing,
     }
