@@ -14,6 +14,7 @@ from gaugeflow.llm import (
     ngram_join,
     quality,
     sharding,
+    token_counts,
     url_filters,
     warc,
 )
@@ -42,6 +43,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.report(table(spark, sf_dir, "documents"), scratch_path(spark, "token-rollup"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_line_dedup": op2_line_dedup,
+        "op3_token_counts": op3_token_counts,
         "op4_decontamination": op4_decontamination,
         "op5_ngram_join": op5_ngram_join,
         "op6_quality": op6_quality,
