@@ -254,8 +254,8 @@ def _forest(percent: int):
     return run
 
 
-def class_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (x, y) that connect all similar classes, from ``members`` (signature, least, class)."""
+def class_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the classes with links, from ``members`` (signature, least, class)."""
     least = F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")
     # 1. the class shared most often among the least of the groups
     best = (
@@ -269,8 +269,10 @@ def class_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     tested = materialize(_verified(best.select(*least).distinct(), sets, percent), "tested")
     step = 0
     while True:
-        labels = materialize(connected_components(tested.where("linked").select("x", "y")), "labels")
-        labelled = members.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").select(
+        labels = connected_components(tested.where("linked").select("x", "y"))
+        side = labels.select(F.col("node").alias("class"), "component")
+        few = labels.count() <= BROADCAST_ROWS
+        labelled = members.join(F.broadcast(side) if few else side, "class", "left").select(
             "signature", "class", F.coalesce("component", "class").alias("label")
         )
         open_groups = (
@@ -299,7 +301,10 @@ def class_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             near = pairs.join(side("x"), "x").join(side("y"), "y")
             found.append(near.where(differ <= _bound(F.col("nx"), F.col("ny"), percent)).select("x", "y"))
         large = rest.where(F.col("size") > SMALL)
-        if not large.isEmpty():
+        any_large = not large.isEmpty()
+        if step and not any_large:
+            return labels
+        if any_large:
             failed = tested.where("NOT linked").groupBy(F.col("x").alias("class")).agg(F.collect_set("y").alias("failed"))
             blocks = F.ceil(F.col("size") / BLOCK).cast("int")
             own = F.pmod(F.xxhash64("class"), blocks).cast("int")
@@ -314,15 +319,15 @@ def class_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             )
             proposed = dealt.groupBy("signature", "i", "j").applyInArrow(_forest(percent), "x long, y long")
             found.append(proposed.select(*least).distinct().join(tested.select("x", "y"), ["x", "y"], "left_anti"))
-        if not found:
-            return tested.where("linked").select("x", "y")
         following = found[0] if len(found) == 1 else found[0].union(found[1]).distinct()
         more = materialize(_verified(following, sets, percent), "tested")
         if more.isEmpty():
-            return tested.where("linked").select("x", "y")
+            return labels
         tested = materialize(tested.union(more), "tested")
-        discard(rest)
-        step += 1
+        if not any_large:
+            return connected_components(tested.where("linked").select("x", "y"))
+        # what follows compares the larger groups only
+        members, step = large.select("signature", "class"), step + 1
 
 
 def components(
@@ -353,7 +358,7 @@ def components(
     ids = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     texts = light.alias("l").join(ids.alias("c"), F.col("l.id").eqNullSafe(F.col("c.id")), "left_semi").select("text")
     sets = materialize(set_rows(texts, words).dropDuplicates(["class"]), "sets")
-    labels = connected_components(class_links(members, sets, percent))
+    labels = class_components(members, sets, percent)
     joined = (
         rows.select("id", "n", "class")
         .join(labels.select(F.col("node").alias("class"), "component"), "class", "left")

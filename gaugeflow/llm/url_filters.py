@@ -138,7 +138,7 @@ def judge(
         verdict = F.coalesce(own, F.lit("allow"))
     else:
         edges = links.select(alias_of(F.col("source")).alias("a"), alias_of(F.col("target")).alias("b"))
-        parts = connected_components(edges)
+        parts = connected_components(edges, local_edges=0)
         # the explicit decisions of all URLs in a component, those of pages and of link ends
         ends = links.select(F.explode(F.array("source", "target")).alias("__url")).distinct()
         decided = (
