@@ -1,0 +1 @@
+"""Integration, quality control and analysis of environmental measurements on Spark."""
