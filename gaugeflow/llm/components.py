@@ -1,7 +1,7 @@
 """Connected components of an edge table.
 
-Up to ``LOCAL_EDGES`` edges are united by one task.  Beyond, large and small
-stars alternate:
+Tasks first unite the edges of their partitions.  Up to ``LOCAL_EDGES`` that are
+left are united by one task.  Beyond, large and small stars alternate:
 a round hangs every neighbour above a node, then every neighbour below it, on the
 least node known there.  Minima are pre-aggregated before the shuffle and joined
 back, where Spark splits a node with very many edges; each round is written to
@@ -18,13 +18,18 @@ from pyspark.sql import functions as F
 
 from gaugeflow.llm.runtime import discard, materialize
 
-#: Edges that one task unites, some ten MB; more are handled by all.
-LOCAL_EDGES = 1_000_000
+#: Edges that one task unites, some ten MB; they have at most ``HELD`` nodes.
+LOCAL_EDGES = 250_000
+
+
+#: Nodes that a task holds before it passes its stars on.
+HELD = 500_000
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, component) of all edges of a task by union-find."""
+    """Stars (a, b) that connect what the edges of a task connect, by union-find."""
     root: dict = {}
+    kind = None
 
     def find(x):
         while (up := root.setdefault(x, x)) != x:
@@ -32,17 +37,22 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = up
         return x
 
-    kind = None
+    def stars() -> pa.RecordBatch:
+        nodes = list(root)
+        columns = [pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
     for batch in batches:
         kind = batch.schema.field(0).type
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = find(a), find(b)
             if a != b:
                 root[max(a, b)] = min(a, b)
+        if len(root) > HELD:
+            yield stars()
+            root.clear()
     if root:
-        nodes = list(root)
-        columns = [pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)]
-        yield pa.RecordBatch.from_arrays(columns, names=["node", "component"])
+        yield stars()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -70,13 +80,17 @@ def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> Da
     ``local_edges`` 0 only DataFrame functions are used.
     """
     ends = edges.select(edges.columns[0], edges.columns[1]).toDF("a", "b").where("a <> b")
+    kind = ends.schema["a"].dataType.simpleString()
+    if local_edges:
+        ends = ends.mapInArrow(_united, f"a {kind}, b {kind}").where("a <> b")
     current = materialize(
         ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
     state = _state(current)
     if state[0] <= local_edges:
-        kind = current.schema["a"].dataType.simpleString()
-        return materialize(current.coalesce(1).mapInArrow(_united, f"node {kind}, component {kind}"), "components")
+        # one task holds all of them, so its stars are the components
+        united = current.coalesce(1).mapInArrow(_united, f"a {kind}, b {kind}")
+        return materialize(united.select(F.col("a").alias("node"), F.col("b").alias("component")), "components")
     while state[0]:
         following = materialize(_small_star(_large_star(current)), "edges")
         discard(current)

@@ -11,19 +11,18 @@ at most ``k`` elements differ between similar sets.  With ``p`` ranges at least
   single ranges are the signatures.  A set with at most ``slack`` empty ranges
   leaves those out: an agreeing range that is not empty remains.
 
-Sets are compared by class (equal sets).  Sets that share a signature are linked
-in steps, and two sets that are already connected are not compared again:
-
-1. each class is compared with the class it shares most groups with, among the
-   least classes of its groups;
-2. in groups of up to ``SMALL`` classes the pairs not yet connected follow;
-3. larger groups are cut in blocks, and a task per pair of blocks compares
-   parity sketches, whose difference never exceeds that of the sets; it proposes
-   a spanning forest of the pairs within the bound.  Proposals are verified and
-   the step repeats until none is left.
-
-Every link is verified on the whole sets.  Shingles are compared by 64-bit hashes
-and classes by a 64-bit hash of their set.
+Sets are compared by class (equal sets).  Similar sets share at least as many
+signatures of a band as ranges agree for sure and aren't empty, so a class that
+shares fewer with all others leaves the band.  Classes that share signatures,
+directly or through others, form a unit; a unit's sets are sent to one task, or, if they
+are many, cut in blocks with a task per pair of blocks.  A unit so large that its
+single signature groups hold fewer pairs is taken apart into them.  A task walks
+through its classes and compares one with those that it isn't connected with yet:
+first by parity sketches, whose difference never exceeds that of the sets, then
+by the whole sets.  It returns the links that connected something, so no pairs of
+a group are written, and near copies cost a link each.
+
+Shingles are compared by 64-bit hashes and classes by a 64-bit hash of their set.
 
 Defined results: null, empty and wordless texts have an empty set, link with
 nothing and are their own component; fewer words than a shingle form one; rows
@@ -40,7 +39,8 @@ from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.llm.components import connected_components
@@ -53,11 +53,13 @@ PERCENT = 80
 BAND = 1.6
 #: Up to this many differing elements, pairs of ranges are enumerated.
 FEW = 3
-#: Classes of a group that are compared pair by pair.
-SMALL = 64
-#: Classes of a block of a larger group.
-BLOCK = 512
+#: Classes and set elements of a block of a unit.
+BLOCK, BLOCK_ITEMS = 4096, 1_500_000
+#: Up to so many classes a unit isn't taken apart.
+UNIT = 50_000
 SKETCH_BITS = 2048
+#: A signature's low bits hold its band.
+BAND_MASK = 127
 
 _VALUE, _TAG, _PLACE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -89,17 +91,23 @@ class Band:
     def two(self) -> tuple[np.ndarray, np.ndarray]:
         return np.triu_indices(self.parts, 1)
 
-    def signatures(self, ordered: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        """Signatures of a set from its ascending hashes and the prefix sums of their values."""
+    def signatures(self, ordered: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, int]:
+        """Signatures of a set from its ascending hashes and the prefix sums of their values,
+        and how many of them it shares with any similar set."""
         at = np.concatenate([[0], np.searchsorted(ordered, self.cuts), [len(ordered)]])
         part = sums[at[1:]] - sums[at[:-1]]
         if self.pairs:
             a, b = self.two
-            return mix64(mix64(part[a] + self.tag[a * self.parts + b]) + part[b])
-        full = at[1:] > at[:-1]
-        if self.parts - np.count_nonzero(full) <= self.slack:
-            return mix64(part[full] + self.tag[full])
-        return mix64(part + self.tag)
+            found, need = mix64(mix64(part[a] + self.tag[a * self.parts + b]) + part[b]), 1
+        else:
+            full = at[1:] > at[:-1]
+            empty = self.parts - np.count_nonzero(full)
+            need = self.parts - self.k
+            if empty <= self.slack:
+                found, need = mix64(part[full] + self.tag[full]), need - empty
+            else:
+                found = mix64(part + self.tag)
+        return found & ~np.uint64(BAND_MASK) | np.uint64(self.number), need
 
 
 @cache
@@ -157,24 +165,28 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, n, class, signatures) of each row of ``docs`` (id, text)."""
+    """(id, n, class, signatures, bands, needs) of each row of ``docs`` (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, classes, found = [], [], []
+            sizes, classes, found, numbers, needs = [], [], [], [], []
             for ordered in shingle_sets(Words(*column_bytes(batch.column(1)), NOT_SPACE), words):
                 sums = _sums(ordered)
+                of = [b for b in bands_of(len(ordered), percent) if b.k] if len(ordered) else []
+                parts = [b.signatures(ordered, sums) for b in of]
                 sizes.append(len(ordered))
                 classes.append(_class(sums) if len(ordered) else None)
-                parts = [b.signatures(ordered, sums) for b in bands_of(len(ordered), percent) if b.k] if len(ordered) else []
-                found.append(np.concatenate(parts) if parts else np.empty(0, np.uint64))
+                found.append(np.concatenate([p for p, _ in parts]) if parts else np.empty(0, np.uint64))
+                numbers.append([b.number for b in of])
+                needs.append([int(n) for _, n in parts])
+            few = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), _lists(found)],
-                names=["id", "n", "class", "signatures"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), _lists(found), pa.array(numbers, few), pa.array(needs, few)],
+                names=["id", "n", "class", "signatures", "bands", "needs"],
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n long, class long, signatures array<long>")
+    return docs.mapInArrow(run, f"id {kind}, n long, class long, signatures array<long>, bands array<int>, needs array<int>")
 
 
 def set_rows(docs: DataFrame, words: int) -> DataFrame:
@@ -200,134 +212,149 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "class long, n long, sketch array<long>, items array<long>")
 
 
-def _bound(nx: Column, ny: Column, percent: int) -> Column:
-    """The most elements in which similar sets of these sizes differ."""
-    return F.floor((nx + ny) * (100 - percent) / (100 + percent))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (x, y) with ``linked``: whether the sets are similar."""
-    side = lambda c: sets.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("items").alias(f"i{c}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
-    common = F.size(F.array_intersect("ix", "iy"))
-    linked = 100 * common >= percent * (F.col("nx") + F.col("ny") - common)
-    return both.select("x", "y", linked.alias("linked"))
-
-
-def _forest(percent: int):
-    """Proposes, within the rows of a pair of blocks, a spanning forest of the pairs to verify."""
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        number, label, n = (rows.column(c).to_numpy() for c in ("class", "label", "n"))
-        order = np.argsort(number)
-        number, label, n = number[order], label[order], n[order]
-        sketch = np.stack([np.asarray(s, np.int64) for s in rows.column("sketch").to_pylist()])[order].view(np.uint64)
-        failed = rows.column("failed").to_pylist()
-        failed = [set(failed[i] or ()) for i in order]
-        proposed = []
-        for i in range(len(number) - 1):
-            other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-            if len(other):
-                differ = np.bitwise_count(sketch[other] ^ sketch[i]).sum(1, dtype=np.int64)
-                near = differ * (100 + percent) <= (n[other] + n[i]) * (100 - percent)
-                proposed += [(int(d), i, int(j)) for d, j in zip(differ[near], other[near], strict=True)]
-                if len(proposed) > 1 << 20:
-                    break
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.get(x, x) != x:
-                root[x] = root.get(root[x], root[x])
-                x = root[x]
-            return x
-
-        xs, ys = [], []
-        for _, i, j in sorted(proposed):
-            a, b = int(number[i]), int(number[j])
-            ra, rb = find(int(label[i])), find(int(label[j]))
-            if ra != rb and b not in failed[i] and a not in failed[j]:
-                root[max(ra, rb)] = min(ra, rb)
-                xs.append(a)
-                ys.append(b)
-        return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def _unit_links(blocks: tuple, items: list, sketch: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Places (i, j) of similar sets that connect all of a task's classes that can be.
+
+    ``blocks`` holds each class's block; of two blocks only pairs across count,
+    as another task has those within.
+    """
+    size = np.array([len(x) for x in items])
+    root = np.arange(len(items))
+    across = len(set(blocks.tolist())) > 1
+    links = []
+    for i in range(len(items) - 1):
+        other = root[i + 1 :] != root[i]
+        if across:
+            other &= blocks[i + 1 :] != blocks[i]
+        other = np.flatnonzero(other) + i + 1
+        # of similar sets, sizes and sketches are near
+        bound = (size[other] + size[i]) * (100 - percent)
+        other = other[np.abs(size[other] - size[i]) * (100 + percent) <= bound]
+        differ = np.bitwise_count(sketch[other] ^ sketch[i]).sum(1, dtype=np.int64)
+        other = other[differ * (100 + percent) <= (size[other] + size[i]) * (100 - percent)]
+        for j in other.tolist():
+            if root[i] != root[j] and _similar(items[i], items[j], percent):
+                low, high = sorted((root[i], root[j]))
+                root[root == high] = low
+                links.append((i, j))
+    return links
+
+
+def _compare(percent: int):
+    """Links (a, b) of the units in sorted rows (unit, i, j, block, class, sketch, items)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def links() -> pa.RecordBatch:
+            blocks, number, sketch, items = (np.concatenate(x) if k < 3 else sum(x, []) for k, x in enumerate(zip(*held)))
+            found = _unit_links(blocks, items, sketch, percent)
+            ends = [pa.array([int(number[p[k]]) for p in found], pa.int64()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+        for batch in batches:
+            key = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            for begin, end in zip([0, *edge.tolist()], [*edge.tolist(), len(key)], strict=True):
+                if at is not None and tuple(key[begin]) != at:
+                    yield links()
+                    held = []
+                at = tuple(key[begin])
+                part = batch.slice(begin, end - begin)
+                sets, flat = part.column(6), part.column(6).flatten().to_numpy().view(np.uint64)
+                cut = np.cumsum(pa.compute.list_value_length(sets).to_numpy())[:-1]
+                held.append(
+                    (
+                        part.column(3).to_numpy(),
+                        part.column(4).to_numpy(),
+                        part.column(5).flatten().to_numpy().view(np.uint64).reshape(len(part.column(4)), -1),
+                        np.split(flat, cut),
+                    )
+                )
+        if held:
+            yield links()
 
     return run
 
 
-def class_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the classes with links, from ``members`` (signature, least, class)."""
-    least = F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")
-    # 1. the class shared most often among the least of the groups
-    best = (
-        members.where("class <> least")
-        .groupBy("class", "least")
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .groupBy("class")
-        .agg(F.max_by("least", F.struct("shared", "least")).alias("y"))
-        .select(F.col("class").alias("x"), "y")
+def _grouped(rows: DataFrame) -> DataFrame:
+    """(signature, least, class) of signatures that several classes share."""
+    shared = (
+        rows.groupBy("signature")
+        .agg(F.min("class").alias("least"), F.max("class").alias("most"))
+        .where("least < most")
+        .select("signature", "least")
     )
-    tested = materialize(_verified(best.select(*least).distinct(), sets, percent), "tested")
-    step = 0
-    while True:
-        labels = connected_components(tested.where("linked").select("x", "y"))
-        side = labels.select(F.col("node").alias("class"), "component")
-        few = labels.count() <= BROADCAST_ROWS
-        labelled = members.join(F.broadcast(side) if few else side, "class", "left").select(
-            "signature", "class", F.coalesce("component", "class").alias("label")
+    return rows.join(materialize(shared, "shared"), "signature")
+
+
+def shared_signatures(rows: DataFrame) -> DataFrame:
+    """(signature, least, class) of ``signature_rows``, without bands that a class can't have links in."""
+    members = _grouped(rows.select(F.explode("signatures").alias("signature"), "class"))
+    members = materialize(members.select("signature", "class").distinct(), "members")
+    needs = rows.where("class IS NOT NULL").select("class", F.explode(F.arrays_zip("bands", "needs")).alias("b"))
+    needs = needs.select("class", F.col("b.bands").alias("band"), F.col("b.needs").alias("need")).distinct()
+    banded = members.withColumn("band", F.col("signature").bitwiseAND(F.lit(BAND_MASK)).cast("int"))
+    # a class has some hundred signatures of a band
+    counted = banded.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("class", "band")))
+    kept = counted.join(needs, ["class", "band"]).where("count >= need").select("signature", "class")
+    found = materialize(_grouped(materialize(kept, "kept")), "members")
+    discard(members)
+    return found
+
+
+def class_links(members: DataFrame, sizes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect all similar classes.
+
+    ``members`` has (signature, least, class), ``sizes`` (class, n) and ``texts``
+    (text) the text of each class.
+    """
+    units = connected_components(members.where("class <> least").select("class", "least"))
+    sized = materialize(
+        units.select(F.col("component").alias("unit"), F.col("node").alias("class")).join(sizes, "class"), "sized"
+    )
+    whole = sized.groupBy("unit").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("elements"))
+    pieces = lambda n, m: F.greatest(F.ceil(n / BLOCK), F.ceil(m / BLOCK_ITEMS)).cast("int")
+    whole = materialize(whole.withColumn("blocks", pieces(F.col("classes"), F.col("elements"))), "units")
+    dealt = sized.join(whole.select("unit", "classes", "blocks"), "unit").select("unit", "class", "n", "classes", "blocks")
+    if not whole.where(F.col("classes") > UNIT).isEmpty():
+        # of the large units, those whose groups hold fewer pairs are dealt by group
+        grouped = members.select("signature", "class").join(dealt.where(F.col("classes") > UNIT), "class")
+        groups = grouped.groupBy("unit", "classes", "signature").agg(
+            F.count(F.lit(1)).alias("size"), F.sum("n").alias("elements")
         )
-        open_groups = (
-            labelled.groupBy("signature")
-            .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
-            .where("lo <> hi")
-            .select("signature", "size")
+        apart = (
+            groups.groupBy("unit", "classes")
+            .agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("pairs"))
+            .where(F.col("pairs") < F.col("classes").cast("double") * F.col("classes"))
+            .select("unit")
         )
-        # groups by signature: what is joined back has only groups not yet connected
-        rest = materialize(labelled.join(open_groups, "signature"), "open")
-        found = []
-        if step == 0:
-            small = rest.where(F.col("size") <= SMALL)
-            pairs = (
-                small.alias("a")
-                .join(small.alias("b"), "signature")
-                .where("a.class < b.class AND a.label <> b.label")
-                .select(F.col("a.class").alias("x"), F.col("b.class").alias("y"))
-                .distinct()
-                .join(tested.select("x", "y"), ["x", "y"], "left_anti")
-            )
-            side = lambda c: sets.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-            differ = F.aggregate(
-                F.zip_with("sx", "sy", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v
-            )
-            near = pairs.join(side("x"), "x").join(side("y"), "y")
-            found.append(near.where(differ <= _bound(F.col("nx"), F.col("ny"), percent)).select("x", "y"))
-        large = rest.where(F.col("size") > SMALL)
-        any_large = not large.isEmpty()
-        if step and not any_large:
-            return labels
-        if any_large:
-            failed = tested.where("NOT linked").groupBy(F.col("x").alias("class")).agg(F.collect_set("y").alias("failed"))
-            blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-            own = F.pmod(F.xxhash64("class"), blocks).cast("int")
-            other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-            dealt = (
-                large.select("signature", "class", "label", blocks.alias("blocks"), own.alias("own"))
-                .withColumn("other", other)
-                .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-                .drop("blocks", "own", "other")
-                .join(sets.select("class", "n", "sketch"), "class")
-                .join(failed, "class", "left")
-            )
-            proposed = dealt.groupBy("signature", "i", "j").applyInArrow(_forest(percent), "x long, y long")
-            found.append(proposed.select(*least).distinct().join(tested.select("x", "y"), ["x", "y"], "left_anti"))
-        following = found[0] if len(found) == 1 else found[0].union(found[1]).distinct()
-        more = materialize(_verified(following, sets, percent), "tested")
-        if more.isEmpty():
-            return labels
-        tested = materialize(tested.union(more), "tested")
-        if not any_large:
-            return connected_components(tested.where("linked").select("x", "y"))
-        # what follows compares the larger groups only
-        members, step = large.select("signature", "class"), step + 1
+        groups = groups.select("signature", pieces(F.col("size"), F.col("elements")).alias("pieces"))
+        by_group = (
+            grouped.join(apart, "unit", "left_semi")
+            .join(groups, "signature")
+            .select(F.col("signature").alias("unit"), "class", "n", "classes", F.col("pieces").alias("blocks"))
+        )
+        dealt = dealt.join(apart, "unit", "left_anti").union(by_group)
+    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    places = (
+        dealt.withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class"
+        )
+    )
+    places = materialize(places, "places")
+    side = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
+    tasks = set_rows(texts, words).join(side, "class").select("unit", "i", "j", "block", "class", "sketch", "items")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = tasks.repartition(parts, "unit", "i", "j").sortWithinPartitions("unit", "i", "j", "class")
+    return materialize(ordered.mapInArrow(_compare(percent), "a long, b long"), "links")
 
 
 def components(
@@ -338,35 +365,27 @@ def components(
     ``component_id`` is the least id reachable over links of ``percent`` or more.
     """
     light = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = materialize(signature_rows(light, words, percent), "signatures")
-    by_signature = rows.select(F.explode("signatures").alias("signature"), "class")
-    shared = (
-        by_signature.groupBy("signature")
-        .agg(F.min("class").alias("least"), F.max("class").alias("most"))
-        .where("least < most")
-        .select("signature", "least")
-    )
-    shared = materialize(shared, "shared")
-    members = materialize(by_signature.join(shared, "signature").distinct(), "members")
-    discard(shared)
-    # one document stands for a class; ids come from a light table
+    found = materialize(signature_rows(light, words, percent), "signatures")
+    members = shared_signatures(found)
+    rows = materialize(found.select("id", "n", "class"), "rows")
+    discard(found)
+    # one document stands for a class
     wanted = members.select("class").distinct()
-    chosen = materialize(
-        rows.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id")).select("id").distinct(),
-        "chosen",
+    chosen = (
+        rows.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     )
-    ids = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    chosen = materialize(chosen, "chosen")
+    ids = chosen.select("id")
+    ids = F.broadcast(ids) if chosen.count() <= BROADCAST_ROWS else ids
     texts = light.alias("l").join(ids.alias("c"), F.col("l.id").eqNullSafe(F.col("c.id")), "left_semi").select("text")
-    sets = materialize(set_rows(texts, words).dropDuplicates(["class"]), "sets")
-    labels = class_components(members, sets, percent)
+    labels = connected_components(class_links(members, chosen.select("class", "n"), texts, words, percent))
+    discard(members)
     joined = (
-        rows.select("id", "n", "class")
-        .join(labels.select(F.col("node").alias("class"), "component"), "class", "left")
+        rows.join(labels.select(F.col("node").alias("class"), "component"), "class", "left")
         .withColumn("component", F.coalesce("component", "class"))
     )
     joined = materialize(joined, "labelled")
-    for used in (rows, members, sets):
-        discard(used)
+    discard(rows)
     least = joined.where("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))
     return joined.join(least, "component", "left").select(
         F.col("id").alias("doc_id"),
