@@ -164,7 +164,7 @@ def validation_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     """WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS part, date_trunc('month', l_shipdate)::DATE AS month, l_quantity AS value,
-  CASE WHEN l_linestatus = 'O' THEN 'cpcb' ELSE 'cwc' END AS source, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_suppkey, l_shipdate) AS _seq FROM lineitem),
+  CASE WHEN l_linestatus = 'O' THEN 'cpcb' ELSE 'cwc' END AS source, l_orderkey * 10 + l_linenumber AS _seq FROM lineitem),
 g AS (SELECT *, count(*) OVER w AS n, avg(value) OVER w AS mean, min(value) OVER w AS lo, max(value) OVER w AS hi, min(_seq) OVER w AS f,
   first_value(_seq) OVER (PARTITION BY part, month ORDER BY CASE source WHEN 'cpcb' THEN 1.0 ELSE 0.95 END DESC, _seq) AS best FROM r WINDOW w AS (PARTITION BY part, month)),
 s AS (SELECT part, month, count(DISTINCT source) AS s FROM r GROUP BY ALL),
@@ -176,14 +176,11 @@ CASE WHEN outcome <> 'conflict' THEN 1.0 WHEN _seq = best THEN 0.8 ELSE 0.5 END:
 FROM o WHERE outcome <> 'averaged' OR _seq = f"""
 )
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     li = table(spark, sf_dir, "lineitem")
-    order = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_suppkey", "l_shipdate")
     rows = li.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("part"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("month"),
         F.col("l_quantity").alias("value"), F.when(F.col("l_linestatus") == "O", "cpcb").otherwise("cwc").alias("source"),
-        F.row_number().over(order).cast("long").alias("_seq"), F.lit("valid").alias("quality_flag"), F.lit(1.0).alias("confidence"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_seq"), F.lit("valid").alias("quality_flag"), F.lit(1.0).alias("confidence"),
     )
     return quality.resolve_conflicts(rows, ["part", "month"]).select("id", "outcome", "value", "quality_flag", "confidence")
 
