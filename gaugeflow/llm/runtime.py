@@ -54,8 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/gaugeflow/{name}-{uuid.uuid4().hex}"
+    """A new path below the application's part of the shared folder."""
+    return f"{shared_dir(spark)}/gaugeflow/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
