@@ -29,35 +29,36 @@ from gaugeflow.llm.runtime import BROADCAST_ROWS, discard, materialize
 
 #: Lines below it are kept.
 MIN_CHARS = 20
-#: Least number of segments of a line, and characters of a segment of long lines.
+#: Segments of a line.
 SEGMENTS = 4
-SEGMENT_CHARS = 256
+#: A shared segment of more characters is cut in pieces, as its variants are.
+PIECE_CHARS = 1024
 
 
-def _segments(base: Column) -> Column:
-    return F.greatest(F.lit(SEGMENTS), F.ceil(base / SEGMENT_CHARS).cast("int"))
-
-
-def _begin(base: Column, j: Column) -> Column:
+def _begin(base: Column, j: Column | int) -> Column:
     """Characters before segment ``j`` of a line of base length ``base``."""
-    return F.floor(base * j / _segments(base)).cast("int")
+    return F.shiftright(base * j, 2)
 
 
-def _keys(line: Column) -> Column:
-    """(base, segment, key) of each segment, for both base lengths."""
+def _key(line: Column, base: Column, j: int) -> Column:
+    """The hash of all but segment ``j``."""
+    return F.xxhash64(base, F.lit(j), F.left(line, _begin(base, j)), F.right(line, base - _begin(base, j + 1)))
 
-    def of(base: Column) -> Column:
-        def one(j: Column) -> Column:
-            before = F.substring(line, F.lit(1), _begin(base, j))
-            behind = base - _begin(base, j + 1)
-            after = F.when(behind > 0, F.substring(line, F.length(line) - behind + 1, behind)).otherwise("")
-            return F.struct(
-                base.alias("base"), j.alias("segment"), F.xxhash64(base, j, before, after).alias("key")
-            )
 
-        return F.transform(F.sequence(F.lit(0), _segments(base) - 1), one)
+def _keys(line: Column, size: Column) -> Column:
+    """The keys of the segments, for both base lengths; written out, so that they compile."""
+    return F.array(*[_key(line, base, j) for base in (size, size - 1) for j in range(SEGMENTS)])
 
-    return F.concat(of(F.length(line)), of(F.length(line) - 1))
+
+def _segment_keys(line: Column, size: Column) -> Column:
+    """(base, segment, key) of what ``_keys`` has."""
+    return F.array(
+        *[
+            F.struct(base.alias("base"), F.lit(j).alias("segment"), _key(line, base, j).alias("key"))
+            for base in (size, size - 1)
+            for j in range(SEGMENTS)
+        ]
+    )
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -66,22 +67,34 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _marked(lines: DataFrame) -> DataFrame:
-    """Lines with their hash (h1, h2) and rank (a struct that orders them)."""
+    """Lines with their hash (h1, h2), rank (a struct that orders them) and size."""
     return lines.withColumns(
         {
             "h1": F.xxhash64("line"),
             "h2": F.xxhash64(F.lit("line"), F.col("line")),
             "rank": F.struct(F.col("id").isNull().alias("last"), "id", "place"),
+            "size": F.length("line"),
         }
     )
 
 
 def _variants(lines: DataFrame) -> DataFrame:
     """(h1, h2, rank, kind, variant) of shared segments; kind is replaced, whole or shorter."""
-    size, begin = F.length("line"), _begin(F.col("base"), F.col("segment"))
-    behind = F.col("base") - _begin(F.col("base"), F.col("segment") + 1)
-    middle = F.substring(F.col("line"), begin + 1, size - begin - behind)
-    rows = lines.withColumn("middle", middle).withColumn("same", size == F.col("base"))
+    begin, end = _begin(F.col("base"), F.col("segment")), _begin(F.col("base"), F.col("segment") + 1)
+    inside = F.substring("line", begin + 1, F.col("size") - begin - (F.col("base") - end))
+    rows = lines.select(
+        "h1", "h2", "rank", "key", inside.alias("inside"), (end - begin).alias("span"), (F.col("size") == F.col("base")).alias("same")
+    )
+    # the pieces of a long segment are to it as segments are to a line
+    count = F.greatest(F.lit(1), F.ceil(F.col("span") / PIECE_CHARS).cast("int"))
+    rows = rows.withColumn("count", count).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+    low, high = (F.floor(F.col("span").cast("long") * p / F.col("count")).cast("int") for p in (F.col("piece"), F.col("piece") + 1))
+    behind = F.col("span") - high
+    rows = rows.select(
+        "h1", "h2", "rank", "same",
+        F.xxhash64("key", "piece", F.left("inside", low), F.right("inside", behind)).alias("key"),
+        F.substring("inside", low + 1, F.length("inside") - low - behind).alias("middle"),
+    )
     without = lambda i: F.concat(
         F.substring(F.col("middle"), F.lit(1), i), F.substring(F.col("middle"), i + 2, F.length("middle"))
     )
@@ -100,7 +113,7 @@ def kept_places(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, place) of the lines of ``docs`` (id, text) that stay, of those with ``min_chars`` or more."""
     lines = materialize(
         _marked(_lines(docs).where(F.length("line") >= min_chars)).select(
-            "h1", "h2", "rank", _keys(F.col("line")).key.alias("keys")
+            "h1", "h2", "rank", _keys(F.col("line"), F.col("size")).alias("keys")
         ),
         "lines",
     )
@@ -124,9 +137,9 @@ def kept_places(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     some = docs.alias("d").join(
         (F.broadcast(wanted) if few else wanted).alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")), "left_semi"
     )
-    texts = _marked(_lines(some).where(F.length("line") >= min_chars)).select("h1", "h2", "rank", "line")
+    texts = _marked(_lines(some).where(F.length("line") >= min_chars)).select("h1", "h2", "rank", "size", "line")
     texts = materialize(texts.join(places, ["h1", "h2", "rank"], "left_semi").dropDuplicates(["h1", "h2"]), "texts")
-    segments = texts.withColumn("k", F.explode(_keys(F.col("line")))).select("h1", "h2", "rank", "line", "k.*")
+    segments = texts.withColumn("k", F.explode(_segment_keys(F.col("line"), F.col("size")))).select("h1", "h2", "rank", "size", "line", "k.*")
     variants = materialize(_variants(segments.join(near, ["h1", "h2", "key"], "left_semi")), "variants")
     line_of = F.struct("rank", "h1", "h2")
     earliest = lambda kind: F.min(F.when(F.col("kind") == kind, line_of)).alias(kind)

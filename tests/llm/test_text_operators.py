@@ -105,7 +105,8 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def test_line_dedup_brute_force(spark):
+def test_line_dedup_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PIECE_CHARS", 8)  # segments have several pieces
     random.seed(3)
     base = ["".join(random.choice("abé ") for _ in range(random.randint(20, 40))) for _ in range(12)] + ["z" * 20, "z" * 21, "y" * 700]
     def edited(s):
