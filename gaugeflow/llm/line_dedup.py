@@ -15,7 +15,8 @@ pairs within a group are made, and the edit distance of each pair is verified on
 the texts.
 
 Defined results: lines end at line feeds; lines of fewer than ``min_chars``
-characters are always kept; a null text has no lines and stays null; an empty
+characters are kept, or, with ``exact_short``, dropped if an earlier line is equal
+and they aren't blank; a null text has no lines and stays null; an empty
 text is one empty line; null ids come last; rows that repeat an id are one
 place and keep the same lines; an empty table gives an empty result.
 """
@@ -177,20 +178,42 @@ def kept_places(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     )
 
 
+def _bare(line: Column, min_chars: int) -> Column:
+    """A line of fewer than ``min_chars`` characters that isn't blank."""
+    return (F.length(line) < min_chars) & F.rlike(line, F.lit(r"\S"))
+
+
+def kept_short_places(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(id, place) of the first of equal lines of ``docs`` (id, text) that aren't blank, of those below ``min_chars``."""
+    lines = _marked(_lines(docs).where(_bare(F.col("line"), min_chars)))
+    firsts = lines.groupBy("h1", "h2").agg(F.min("rank").alias("rank"))
+    return firsts.select(F.col("rank.id").alias("id"), F.col("rank.place").alias("place"))
+
+
 def dedupe_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_chars: int = MIN_CHARS,
+    exact_short: bool = False,
 ) -> DataFrame:
-    """``docs`` with the deduplicated text in place of the text, and ``__lines`` and ``__kept``, counts of lines."""
+    """``docs`` with the deduplicated text in place of the text, and ``__lines`` and ``__kept``, counts of lines.
+
+    With ``exact_short`` lines below ``min_chars`` are deduplicated too, by equality.
+    """
+    light = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    places = kept_places(light, min_chars=min_chars)
+    if exact_short:
+        places = places.union(kept_short_places(light, min_chars=min_chars))
     kept = (
-        kept_places(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), min_chars=min_chars)
-        .groupBy("id")
+        places.groupBy("id")
         .agg(F.collect_list("place").alias("__places"))
         .withColumnRenamed("id", "__id")
     )
     split = F.split(F.col(text_col), "\n", -1)
-    stays = F.filter(
-        split, lambda line, i: (F.length(line) < min_chars) | F.coalesce(F.array_contains("__places", i), F.lit(False))
-    )
+    free = lambda line: (F.length(line) < min_chars) & (~_bare(line, min_chars) if exact_short else F.lit(True))
+    stays = F.filter(split, lambda line, i: free(line) | F.coalesce(F.array_contains("__places", i), F.lit(False)))
     joined = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left").withColumn("__stays", stays)
     columns = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     text = F.array_join("__stays", "\n").alias(text_col)

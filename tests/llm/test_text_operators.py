@@ -133,6 +133,14 @@ def test_line_dedup_keeps_columns(spark):
     assert line_dedup.dedupe_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    long = "a" * 30
+    df = docs(spark, ["Menu\n\nHome\n" + long, None, "Home\nMenu\nMenu \n \n" + long, "\nHome\n \nHomes"])
+    out = {r.doc_id: (r.text, r["__lines"], r["__kept"]) for r in line_dedup.dedupe_lines(df, exact_short=True).collect()}
+    assert out == {0: ("Menu\n\nHome\n" + long, 4, 4), 1: (None, 0, 0), 2: ("Menu \n ", 5, 2), 3: ("\n \nHomes", 4, 3)}
+    assert line_dedup.dedupe_lines(docs(spark, []), exact_short=True).count() == 0
+
+
 # --- 3 ---------------------------------------------------------------------------
 
 
