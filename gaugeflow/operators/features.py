@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +13,8 @@ from gaugeflow import schema
 from gaugeflow.functions import dates, geo, spectral
 
 TARGETS = list(schema.TARGET_BOUNDS)
+#: Incomplete rows of a block of the imputation, and pairs of rows compared at once.
+QUERIES, PAIRS = 8192, 1 << 20
 
 
 def sentinels_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -54,39 +56,91 @@ def clean_for_training(df: DataFrame, targets: list[str] = TARGETS, keys: list[s
     return mean_by_observation(df, keys, targets, firsts)
 
 
-def knn_impute(df: DataFrame, columns: list[str], k: int = 5, donors: int = 20_000, seed: int = 42) -> DataFrame:
+def _nearest(x: np.ndarray, given: np.ndarray, k: int) -> list[list[dict]]:
+    """For each row of ``x`` the ``k`` nearest of ``given`` for each of its missing columns, ties by value."""
+    out: list[list[dict]] = [[] for _ in x]
+    there, width = ~np.isnan(given), x.shape[1]
+    # per column the rows that have it, in order of its values
+    able = [np.flatnonzero(t)[np.argsort(g[t], kind="stable")] for t, g in zip(there.T, given.T, strict=True)]
+    step = max(1, PAIRS // max(len(given), 1))
+    for at in range(0, len(x), step):
+        rows = x[at : at + step]
+        has = ~np.isnan(rows)
+        gap, n = np.zeros((len(rows), len(given))), np.zeros((len(rows), len(given)), np.int32)
+        # column by column, so that a pair's distance doesn't depend on its block
+        for c in range(width):
+            common = has[:, c, None] & there[:, c]
+            gap += np.where(common, rows[:, c, None] - given[:, c], 0.0) ** 2
+            n += common
+        far = np.where(n > 0, gap * width / np.maximum(n, 1), np.inf)
+        for c in range(width):
+            lacking = np.flatnonzero(~has[:, c])
+            if not len(lacking) or not len(able[c]):
+                continue
+            distance = far[np.ix_(lacking, able[c])]
+            m = min(k, distance.shape[1])
+            bound = np.partition(distance, m - 1, axis=1)[:, m - 1]
+            for r, d, most in zip(lacking.tolist(), distance, bound, strict=True):
+                near = np.flatnonzero((d <= most) & (d < np.inf))
+                near = near[np.argsort(d[near], kind="stable")[:k]]
+                values = given[able[c][near], c]
+                out[at + r] += [{"c": c, "far": f, "value": v} for f, v in zip(d[near].tolist(), values.tolist(), strict=True)]
+    return out
+
+
+def knn_impute(df: DataFrame, columns: list[str], k: int = 5, donors: int = 20_000) -> DataFrame:
     """Fill nulls with the mean of the ``k`` nearest rows that have the column.
 
-    Distances are over the columns both rows have, scaled to all of them.  Rows
-    are compared with at most ``donors`` rows, chosen by hash; with fewer rows the
-    result is that of all.  Donors without the column or a common one don't count;
-    without any the column's mean is used.
+    Distances are over the columns both rows have, scaled to all of them; of
+    equal distances lesser values come first.  Incomplete rows are compared with
+    all rows: both are dealt into blocks, of about ``donors`` distinct rows and
+    ``QUERIES`` incomplete ones, a task compares two blocks, and the nearest of
+    all blocks are merged.  Rows without the column or a common one don't count;
+    without any the mean of the whole column is used.
     """
-    pool = df.select(*columns).where(F.coalesce(*columns).isNotNull())
-    pool = pool.orderBy(F.xxhash64(F.lit(seed), *columns)).limit(donors).toPandas().to_numpy(float)
-    means = np.array([np.nan if np.isnan(c).all() else np.nanmean(c) for c in pool.T]) if len(pool) else np.full(len(columns), np.nan)
-    sent = df.sparkSession.sparkContext.broadcast((pool, means))  # at most ``donors`` rows
-
-    def run(batches):
-        given, mean = sent.value
-        there = ~np.isnan(given)
-        filled = np.where(there, given, 0.0)
-        for frame in batches:
-            x = frame[columns].to_numpy(float)
-            for r in np.flatnonzero(np.isnan(x).any(1)):
-                has = ~np.isnan(x[r])
-                common = there & has
-                n = common.sum(1)
-                gap = (np.where(common, filled - np.where(has, x[r], 0.0), 0.0) ** 2).sum(1)
-                far = np.where(n > 0, gap * len(columns) / np.maximum(n, 1), np.inf)
-                for c in np.flatnonzero(~has):
-                    able = np.flatnonzero(there[:, c] & np.isfinite(far))
-                    near = able[np.argsort(far[able], kind="stable")[:k]]
-                    x[r, c] = given[near, c].mean() if len(near) else mean[c]
-            frame[columns] = pd.DataFrame(x, columns=columns, index=frame.index)
-            yield frame
-
-    return df.mapInPandas(run, df.schema)
+    given = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    values = [given(c).alias(f"v{i}") for i, c in enumerate(columns)]
+    names = [f"v{i}" for i in range(len(columns))]
+    whole = reduce(lambda a, b: a & b, [given(c).isNotNull() for c in columns])
+    # what repeats beyond k can't be nearest
+    pool = df.select(*values).where(F.coalesce(*names).isNotNull()).groupBy(*names)
+    pool = pool.agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("times"))
+    counts = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(~whole).alias("lacking"), *[F.avg(given(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    slices = max(1, -(-counts.n // donors))
+    blocks = max(1, -(-counts.lacking // QUERIES))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    asked = df.where(~whole).select(F.monotonically_increasing_id().alias("id"), row.alias("row"), *values)
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    asked = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    # a row itself goes to one task, so that it comes back once, with its neighbours
+    asked = asked.withColumn("row", F.when(F.col("slice") == 0, F.col("row")))
+    dealt = pool.withColumn("slice", F.pmod(F.xxhash64(*names), F.lit(slices)).cast("int"))
+    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    best = pa.list_(pa.struct([("c", pa.int32()), ("far", pa.float64()), ("value", pa.float64())]))
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        columns_ = [table.column(n).to_pandas().to_numpy(float, na_value=np.nan) for n in names]
+        return np.stack(columns_, 1)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = np.repeat(matrix(right), right.column("times").to_numpy().astype(int), axis=0) if len(right) else np.empty((0, len(names)))
+        found = pa.array(_nearest(matrix(left), known, k) if len(left) else [], best)
+        return pa.table({"id": left.column("id"), "row": left.column("row"), "best": found})
+
+    shape = f"id long, row {asked.schema['row'].dataType.simpleString()}, best array<struct<c:int,far:double,value:double>>"
+    near = asked.groupBy("block", "slice").cogroup(dealt.groupBy("block", "slice")).applyInArrow(compare, shape)
+    near = near.groupBy("id").agg(F.first("row", ignorenulls=True).alias("row"), F.flatten(F.collect_list("best")).alias("best"))
+
+    def filled(i: int, c: str) -> Column:
+        # structs are ordered by distance, then value
+        least = F.slice(F.array_sort(F.filter("best", lambda b: b.c == i)), 1, k)
+        mean = F.aggregate(least, F.lit(0.0), lambda total, b: total + b.value) / F.nullif(F.size(least), F.lit(0))
+        own = F.col("row").getField(c)
+        return F.when(own.isNull() | F.isnan(own.cast("double")), F.coalesce(mean, F.lit(counts[f"m{i}"]).cast("double"))).otherwise(own)
+
+    place = {c: i for i, c in enumerate(columns)}
+    imputed = near.select(*[(filled(place[c], c) if c in place else F.col("row").getField(c)).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+    return df.where(whole).unionByName(imputed)
 
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,6 +185,44 @@ def test_cleaning_and_imputation(spark):
     assert filled.b == pytest.approx(8.0)
 
 
+def brute_impute(rows, k):
+    """Mean of the k nearest by nan-euclidean distance, ties by value; without any the column's mean."""
+    width, out = len(rows[0]), []
+    for r in rows:
+        done = list(r)
+        for c in [c for c in range(width) if r[c] is None]:
+            able = []
+            for g in rows:
+                both = [i for i in range(width) if r[i] is not None and g[i] is not None]
+                if g[c] is not None and both:
+                    able.append((sum((r[i] - g[i]) ** 2 for i in both) * width / len(both), g[c]))
+            near = [v for _, v in sorted(able)[:k]] or [g[c] for g in rows if g[c] is not None]
+            done[c] = sum(near) / len(near)
+        out.append(done)
+    return out
+
+
+def test_imputation_compares_with_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(features, "QUERIES", 16)
+    monkeypatch.setattr(features, "PAIRS", 64)
+    random.seed(17)
+    value = lambda: random.choice([None, float(random.randint(0, 9)), random.random() * 50])
+    rows = [[value() for _ in range(4)] for _ in range(150)] + [[None] * 4, [None, None, None, 7.0]] + [[3.0, 3.0, 3.0, 3.0]] * 9
+    df = spark.createDataFrame([(i, f"s{i}", D, *r) for i, r in enumerate(rows)], "i int, s string, day date, a double, b double, c double, d double")
+    filled = features.knn_impute(df, ["a", "b", "c", "d"], donors=20)
+    assert filled.columns == df.columns
+    out = {r.i: r for r in filled.collect()}
+    assert len(out) == len(rows) and all((r.s, r.day) == (f"s{i}", D) for i, r in out.items())
+    for i, r in enumerate(brute_impute(rows, 5)):
+        assert [out[i].a, out[i].b, out[i].c, out[i].d] == pytest.approx(r)
+
+
+def test_imputation_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, None, float("nan")), (2, None, 4.0)], "i int, a double, b double")
+    assert sorted((r.i, r.a, r.b) for r in features.knn_impute(df, ["a", "b"]).collect()) == [(1, None, 4.0), (2, None, 4.0)]
+    assert features.knn_impute(df.limit(0), ["a", "b"]).count() == 0
+
+
 def test_ensemble_interval(spark):
     r = spark.createDataFrame([([float(i) for i in range(101)],)], "p array<double>").select(features.ensemble_interval(F.col("p")).alias("x")).first().x
     assert (r.low, r.high) == (5.0, 95.0)
