@@ -12,8 +12,8 @@ at most ``k`` elements differ between similar sets.  With ``p`` ranges at least
   leaves those out: an agreeing range that is not empty remains.
 
 Sets are compared by class (equal sets).  Similar sets share at least as many
-signatures of a band as ranges agree for sure and aren't empty, so a class that
-shares fewer with all others leaves the band.  Classes that share signatures,
+signatures of a band as ranges agree for sure and aren't left out by either, so a
+class that shares fewer with all others leaves the band.  Classes that share signatures,
 directly or through others, form a unit; a unit's sets are sent to one task, or, if they
 are many, cut in blocks with a task per pair of blocks.  A unit so large that its
 single signature groups hold fewer pairs is taken apart into them.  A task walks
@@ -102,9 +102,10 @@ class Band:
         else:
             full = at[1:] > at[:-1]
             empty = self.parts - np.count_nonzero(full)
-            need = self.parts - self.k
+            # either set may leave its empty ranges out, at most ``slack``
+            need = max(1, self.parts - self.k - min(empty, self.slack))
             if empty <= self.slack:
-                found, need = mix64(part[full] + self.tag[full]), need - empty
+                found = mix64(part[full] + self.tag[full])
             else:
                 found = mix64(part + self.tag)
         return found & ~np.uint64(BAND_MASK) | np.uint64(self.number), need

@@ -266,6 +266,23 @@ def test_bands_cover_all_similar_sizes():
             assert set(ngram_join.bands_of(x, percent)) & set(ngram_join.bands_of(y, percent))
 
 
+@pytest.mark.parametrize(("percent", "common", "others"), [(80, 17, (2, 2)), (85, 23, (2, 2))])
+def test_similar_sets_share_what_they_need(percent, common, others):
+    import numpy as np
+
+    rng = np.random.default_rng(19)
+    band = max(set(ngram_join.bands_of(common + others[0], percent)) & set(ngram_join.bands_of(common + others[1], percent)), key=lambda b: b.k)
+    assert 100 * common >= percent * (common + sum(others))
+    sparse = 0
+    for _ in range(8000):
+        values = rng.integers(0, 1 << 64, common + sum(others), np.uint64)
+        a, b = np.sort(values[: common + others[0]]), np.sort(np.concatenate([values[:common], values[common + others[0] :]]))
+        (x, need_x), (y, need_y) = (band.signatures(v, ngram_join._sums(v)) for v in (a, b))
+        sparse += len(x) != len(y)
+        assert len(np.intersect1d(x, y)) >= max(need_x, need_y) >= 1
+    assert sparse
+
+
 def test_keep_first(spark):
     df = docs(spark, ["a b c d e f", "a b c d e f", None, "", "z"]).withColumns({"class": F.lit("k"), "n": F.lit(1)})
     df = df.union(df.where("doc_id = 0")).union(df.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
