@@ -12,8 +12,9 @@ fragment, its host in lower case.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path,
 fits no rule, has no aliases and is allowed; of equal rules the allowing one
-counts; rules without a host are ignored; repeated rows are judged alike; links
-whose target is neither absolute nor begins with ``/`` are ignored.
+counts; rules without a host are ignored; repeated rows are judged alike; all
+canonical and refresh tags of a page count, relative targets are resolved against
+its URL, and targets of schemes without ``://`` are ignored.
 """
 
 from __future__ import annotations
@@ -46,26 +47,67 @@ def alias_of(url: Column) -> Column:
     return F.when(_rest(url).isNotNull(), F.concat(host_of(url), F.regexp_extract(_rest(url), r"^[^/?#]*([^#]*)", 1)))
 
 
+#: Character references of URLs in HTML, the ampersand last, so that nothing is decoded twice.
+_REFERENCES = [
+    (r"(?i)&lt;", "<"), (r"(?i)&gt;", ">"), (r"(?i)&quot;|&#0*34;|&#x0*22;", '"'), (r"(?i)&apos;|&#0*39;|&#x0*27;", "'"),
+    (r"(?i)&amp;|&#0*38;|&#x0*26;", "&"),
+]
+
+
+def _decoded(link: Column) -> Column:
+    for pattern, char in _REFERENCES:
+        link = F.regexp_replace(link, pattern, char)
+    return link
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with ``/``, its segments ``.`` and ``..`` resolved."""
+    parts = F.slice(F.split(path, "/", -1), 2, F.length(path) + 1)
+    step = lambda done, part: (
+        F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+    )
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    # a last segment of dots leaves a folder
+    folder = F.element_at(parts, -1).isin(".", "..")
+    return F.concat(F.lit("/"), F.array_join(F.when(folder, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+
+
+def resolved(source: Column, link: Column) -> Column:
+    """The URL that ``link`` on the page ``source`` names; null if it names none with ``://``."""
+    scheme = F.regexp_extract(source, r"^[^:]*:", 0)
+    site = F.concat(scheme, F.lit("//"), host_of(source))
+    path, query = path_of(source), F.regexp_extract(_rest(source), r"^[^/?#]*[^?#]*(\?[^#]*)", 1)
+    own = F.regexp_extract(link, r"^[^?#]*", 0)
+    behind = F.substring(link, F.length(own) + F.lit(1), F.length(link))
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, r"^.*/", 0), F.lit("")), F.lit("/"))
+    return (
+        F.when(F.rlike(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*://")), link)
+        .when(F.rlike(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), None)
+        .when(F.startswith(link, F.lit("//")), F.concat(scheme, link))
+        .when(F.startswith(link, F.lit("/")), F.concat(site, _without_dots(own), behind))
+        .when(F.startswith(link, F.lit("?")), F.concat(site, path, link))
+        .when(F.startswith(link, F.lit("#")), F.concat(site, path, query, link))
+        .otherwise(F.concat(site, _without_dots(F.concat(folder, own)), behind))
+    )
+
+
 def page_links(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges (source, target) of URLs: canonical links and refresh redirects in the HTML."""
-    tag = lambda pattern: F.regexp_extract(F.col(html_col), pattern, 0)
-    canonical = F.regexp_extract(
-        tag(r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""), r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1
+    """Edges (source, target) of URLs: all canonical links and refresh redirects in the HTML."""
+    tags = lambda pattern: F.regexp_extract_all(F.col(html_col), F.lit(pattern), F.lit(0))
+    canonical = F.transform(
+        tags(r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""),
+        lambda tag: F.regexp_extract(tag, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1),
     )
-    refresh = F.regexp_extract(
-        tag(r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""), r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1
+    refresh = F.transform(
+        tags(r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""),
+        lambda tag: F.regexp_extract(tag, r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1),
     )
     url = F.col(url_col)
     found = pages.where(_rest(url).isNotNull()).select(
-        url.alias("source"), F.explode(F.array(canonical, refresh)).alias("link")
-    )
-    scheme = F.regexp_extract("source", r"^[^:]*://", 0)
-    target = (
-        F.when(F.contains("link", F.lit("://")), F.col("link"))
-        .when(F.startswith("link", F.lit("//")), F.concat(F.regexp_extract("source", r"^[^:]*:", 0), F.col("link")))
-        .when(F.startswith("link", F.lit("/")), F.concat(scheme, host_of(F.col("source")), F.col("link")))
+        url.alias("source"), F.explode(F.concat(canonical, refresh)).alias("link")
     )
-    return found.where("link <> ''").select("source", target.alias("target")).where("target IS NOT NULL")
+    found = found.where("link <> ''").select("source", _decoded(F.col("link")).alias("link"))
+    return found.select("source", resolved(F.col("source"), F.col("link")).alias("target")).where("target IS NOT NULL")
 
 
 def apply_rules(urls: DataFrame, rules: DataFrame, *, url_col: str = "url") -> DataFrame:

@@ -103,3 +103,27 @@ def test_aliases_inherit(spark):
     out = judged(spark, [*rows, (9, "http://g.io/#z", "")], redirects)
     verdicts = {i: r[3] for i, r in out.items()}
     assert verdicts == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "allow", 9: "block"}
+
+
+def test_link_targets(spark):
+    link = '<link rel="canonical" href="{}">'
+    page = "http://A.io/x/y/p?q=1#f"
+    given = {
+        "page.html": "http://a.io/x/y/page.html", "../z": "http://a.io/x/z", "../../../z/./?a": "http://a.io/z/?a", "?id=1": "http://a.io/x/y/p?id=1",
+        "./": "http://a.io/x/y/", "..": "http://a.io/x/", "/r/../s#t": "http://a.io/s#t", "//b.io/c": "http://b.io/c", "https://b.io/?u=http://c": "https://b.io/?u=http://c",
+        "s?u=http://c/../d": "http://a.io/x/y/s?u=http://c/../d", "http://b.io/?a=1&amp;b=2&#38;c=&amp;lt;": "http://b.io/?a=1&b=2&c=&lt;", "mailto:x": None, "#g": "http://a.io/x/y/p?q=1#g",
+    }
+    pages = spark.createDataFrame([(i, page, link.format(k)) for i, k in enumerate(given)], PAGES)
+    out = [r.target for r in url_filters.page_links(pages).collect()]
+    assert out == [v for v in given.values() if v]
+    bare = spark.createDataFrame([(1, "http://a.io", link.format("p") + link.format("/q") + "<meta http-equiv=refresh content='0;url=r'><META http-equiv=refresh content=0;url=s>"), (2, "http://b.io", None)], PAGES)
+    assert sorted(r.target for r in url_filters.page_links(bare).collect()) == [f"http://a.io/{c}" for c in "pqrs"]
+
+
+def test_relative_and_later_aliases_inherit(spark):
+    link = '<link rel="canonical" href="{}">'
+    rows = [
+        (1, "http://a.io/d/1", link.format("2")), (2, "http://a.io/d/2", link.format("http://none.io/") + link.format("http://evil.org/x?a=1&amp;b=2")),
+        (3, "http://evil.org/x?a=1&b=2", ""), (4, "http://a.io/4", ""),
+    ]
+    assert {i: r[3] for i, r in judged(spark, rows).items()} == {1: "block", 2: "block", 3: "block", 4: "allow"}
