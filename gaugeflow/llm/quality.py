@@ -7,9 +7,10 @@ prior that is the share of label 1 among the training labels.  Negative labels
 enter through that share alone.  The score is the logistic of the linear value
 and so estimates the probability of label 1.
 
-Only byte and word statistics of the whole text are inputs.  The fit sees at most
-``positives`` and ``unlabelled`` rows, chosen by a hash of their id; every text is
-scored.
+Only byte and word statistics of the whole text are inputs, scaled by their mean
+and deviation over all texts of the training folds.  The steps of the fit see at
+most ``positives`` and ``unlabelled`` rows, chosen by a hash of their id; every
+text is scored.
 
 Defined results: null and empty texts have the statistics of no words and get a
 score like any other; documents whose id is null are scored, belong to remainder
@@ -108,15 +109,22 @@ class Model:
 
 
 def fit(
-    positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 400, rate: float = 0.02, decay: float = 1e-3
+    positive: np.ndarray,
+    unlabelled: np.ndarray,
+    prior: float,
+    mean: np.ndarray,
+    deviation: np.ndarray,
+    *,
+    steps: int = 400,
+    rate: float = 0.02,
+    decay: float = 1e-3,
 ) -> Model:
     """Minimise the non-negative risk by full gradient steps.
 
     Where the negative part of the risk falls below 0 its gradient is reversed,
     which undoes the over-fit that drove it there.
     """
-    mean = unlabelled.mean(0)
-    scale = 1 / np.maximum(unlabelled.std(0), 1e-4)
+    scale = 1 / np.maximum(deviation, 1e-4)
     p, u = (np.clip((x - mean) * scale, -6, 6) for x in (positive, unlabelled))
     weight, bias = np.zeros(p.shape[1], np.float32), np.log(prior / (1 - prior))
     m, v = np.zeros(len(weight) + 1), np.zeros(len(weight) + 1)
@@ -157,6 +165,31 @@ def _sampled_features(docs: DataFrame, chosen: DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(sorted(rows)), np.float32).reshape(len(rows), N_SHAPE + 256)
 
 
+def _moments(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation of the features of all ``texts``, one column, in one aggregate."""
+    width = N_SHAPE + 256
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((2, width)), 0
+        for batch in batches:
+            x = features(*column_bytes(batch.column(0))).astype(np.float64)
+            total += np.stack([x.sum(0), (x * x).sum(0)])
+            n += len(x)
+        if n:
+            columns = [np.arange(width), np.full(width, n), total[0], total[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["place", "n", "one", "two"])
+
+    # sums of decimals don't depend on the order of the tasks
+    exact = lambda c: F.sum(F.col(c).cast("decimal(28,12)")).cast("double")
+    sums = texts.mapInArrow(run, "place long, n long, one double, two double").groupBy("place")
+    rows = sums.agg(F.sum("n").cast("double"), exact("one"), exact("two")).orderBy("place").collect()
+    if not rows:
+        return np.zeros(width, np.float32), np.zeros(width, np.float32)
+    _, n, one, two = np.array(rows, np.float64).T
+    mean = one / n
+    return mean.astype(np.float32), np.sqrt(np.maximum(two / n - mean**2, 0)).astype(np.float32)
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -170,7 +203,7 @@ def train(
     """A model fitted on the training folds; None without training labels or positives.
 
     The samples are the rows of least hash; ids outside the training folds are
-    in neither.
+    in neither.  Mean and deviation are those of all rows of the training folds.
     """
     named = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     ids = lambda df: df.where((fold(F.col("__id")) != 0) & F.col("__id").isNotNull())
@@ -184,7 +217,7 @@ def train(
     u = _sampled_features(named, least(ids(named.select("__id")), unlabelled))
     if not len(p) or not len(u):
         return None
-    return fit(p, u, min(float(prior), 0.99))
+    return fit(p, u, min(float(prior), 0.99), *_moments(ids(named).select("__text")))
 
 
 def scored(docs: DataFrame, model: Model | None, *, text_col: str = "text", score_col: str = "__score") -> DataFrame:

@@ -318,6 +318,18 @@ def test_quality_held_out(spark):
     assert kept == df.columns
 
 
+def test_quality_scales_by_all_texts(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [*ODD, *(f"word {i} " * (i % 40) + "X" * (i % 7) for i in range(300))]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    model = quality.train(docs(spark, texts).repartition(3), labels, unlabelled=10)
+    seen = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5]
+    x = quality.features(*quality.column_bytes(pa.array(seen, pa.string()))).astype(float)
+    assert np.allclose(model.mean, x.mean(0), atol=1e-5) and np.allclose(model.scale, 1 / np.maximum(x.std(0), 1e-4), rtol=1e-3)
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.report(docs(spark, ["a", None]), none).collect()} == {0.5}
