@@ -358,13 +358,8 @@ def class_links(members: DataFrame, sizes: DataFrame, texts: DataFrame, words: i
     return materialize(ordered.mapInArrow(_compare(percent), "a long, b long"), "links")
 
 
-def components(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id.
-
-    ``component_id`` is the least id reachable over links of ``percent`` or more.
-    """
+def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """What ``components`` returns, and ``component``, the class that names the component."""
     light = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = materialize(signature_rows(light, words, percent), "signatures")
     members = shared_signatures(found)
@@ -393,27 +388,69 @@ def components(
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
         F.col("class").alias("class_id"),
+        "component",
     )
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with the least id of their component; of rows that repeat it, one.
+def components(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id.
 
-    Rows without an id stay.
+    ``component_id`` is the least id reachable over links of ``percent`` or more.
     """
-    first = components(docs, id_col=id_col, text_col=text_col, **options)
+    return _labelled(docs, id_col, text_col, words, percent).drop("component")
+
+
+def _with_class(docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """``docs`` with ``__class``, the class of each row; null without words."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(Words(*column_bytes(batch.column(at)), NOT_SPACE), words)
+            classes = pa.array([_class(_sums(x)) if len(x) else None for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, classes], names=[*batch.schema.names, "__class"])
+
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{columns}, __class long")
+
+
+def keep_first(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """The rows of ``docs`` with the least id of their component; of a component's rows that repeat it, one.
+
+    Rows without an id stay, and so do all rows without words, which are
+    components of their own.
+    """
+    labelled = _labelled(docs, id_col, text_col, words, percent)
+    labelled = materialize(labelled.select("doc_id", "n_shingles", "component_id", "class_id", "component"), "first")
+    is_first = F.col("doc_id") == F.col("component_id")
     kept = materialize(
-        first.where(F.col("doc_id") == F.col("component_id"))
+        labelled.where("doc_id IS NOT NULL")
         .groupBy(F.col("doc_id").alias("__kept"))
-        .agg(F.count(F.lit(1)).alias("__rows")),
+        .agg(F.count(F.lit(1)).alias("__rows"), F.count_if(is_first).alias("__firsts"))
+        .where("__firsts > 0")
+        .drop("__firsts"),
         "kept",
     )
     n, most = kept.agg(F.count(F.lit(1)), F.max("__rows")).first()
     side = F.broadcast(kept) if n <= BROADCAST_ROWS else kept
     joined = docs.join(side, F.col(id_col) == F.col("__kept"), "left")
-    single = joined.where(F.col(id_col).isNull() | F.col("__kept").isNotNull())
-    if most and most > 1:
-        # a null id is in no group of repeated rows
-        marked = single.withColumn("__row", F.when(F.col(id_col).isNull(), F.uuid()))
-        single = marked.dropDuplicates([id_col, "__row"])
-    return single.select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if not most or most == 1:
+        return joined.where(F.col(id_col).isNull() | F.col("__kept").isNotNull()).select(*columns)
+    single = joined.where(F.col(id_col).isNull() | (F.col("__rows") == 1)).select(*columns)
+    # rows of one id are told apart by their class, of which a component keeps one
+    chosen = materialize(
+        labelled.where(is_first & (F.col("n_shingles") > 0))
+        .groupBy(F.col("doc_id").alias("__id"), "component")
+        .agg(F.min("class_id").alias("__chosen"))
+        .select("__id", "__chosen"),
+        "chosen",
+    )
+    repeated = _with_class(joined.where("__rows > 1").select(*columns), text_col, words)
+    texts = repeated.join(chosen, (F.col(id_col) == F.col("__id")) & (F.col("__class") == F.col("__chosen")))
+    texts = texts.dropDuplicates(["__id", "__chosen"]).select(*columns)
+    return single.union(texts).union(repeated.where("__class IS NULL").select(*columns))

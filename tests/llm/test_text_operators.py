@@ -290,6 +290,20 @@ def test_keep_first(spark):
     assert ngram_join.keep_first(docs(spark, [])).count() == 0
 
 
+def test_keep_first_of_repeated_ids(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [
+        (1, text("a")), (1, text("b")), (2, text("a")), (3, text("c")), (4, text("c")), (4, text("d")), (5, ""), (5, None), (6, text("e")), (6, text("e")),
+        (7, text("f")), (7, text("f") + " end"), (8, text("c")), (8, ""), (None, text("a")), (9, text("g")),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCS)
+    out = [(r.doc_id, r.text) for r in ngram_join.keep_first(df).collect()]
+    seven = [t for i, t in out if i == 7]
+    assert len(seven) == 1 and seven[0] in (text("f"), text("f") + " end")
+    expected = [(1, text("a")), (1, text("b")), (3, text("c")), (4, text("d")), (5, ""), (5, None), (6, text("e")), (7, seven[0]), (8, ""), (9, text("g")), (None, text("a"))]
+    assert sorted(out, key=repr) == sorted(expected, key=repr)
+
+
 @pytest.mark.parametrize("local_edges", [0, 1000])
 def test_components(spark, local_edges):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (50, 50), (None, 3)] + [(200, 300 + i) for i in range(40)]
