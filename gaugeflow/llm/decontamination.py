@@ -63,6 +63,8 @@ def winnowed(gram: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 def _gram_rows(row: np.ndarray, size: int) -> np.ndarray:
     n = len(row) - size + 1
+    if n <= 0:
+        return np.empty(0, row.dtype)
     return np.where(row[:n] == row[size - 1 :], row[:n], -1)
 
 

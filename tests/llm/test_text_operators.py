@@ -203,6 +203,15 @@ def test_decontamination_brute_force(spark, block_bytes):
     assert [out[i] for i in range(len(texts))] == contaminated(texts, items)
 
 
+@pytest.mark.parametrize("n", range(1, 10))
+def test_decontamination_of_few_words(spark, n):
+    words = "a b c d e f g h i j k l".split()
+    for texts, items in (([" ".join(words[:n])], [(1, " ".join(words)), (2, "b c")]), ([" ".join(words)], [(1, " ".join(words[:n]))])):
+        table = spark.createDataFrame(items, "item_id long, text string")
+        out = [tuple(r)[1:] for r in decontamination.report(docs(spark, texts).coalesce(1), table).collect()]
+        assert out == contaminated(texts, items)
+
+
 def test_decontamination_without_items(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     df = docs(spark, ["a b", None]).withColumn("n_words", F.lit(1))
