@@ -7,9 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows a side may have to be broadcast; beyond it the joins shuffle both sides.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes a side may have to be broadcast; beyond them the joins shuffle both sides.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 #: Settings the operators rely on.  Arrow batches are bounded in bytes, so long
 #: texts cannot inflate a Python worker; shuffle files go when their query ends.
@@ -43,7 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not context.master.startswith("local"):
+    # local-cluster has executors of its own
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = context.applicationId
     if app not in _own_dirs:
@@ -71,6 +73,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def sided(df: DataFrame) -> DataFrame:
+    """``df``, a stored table, with a broadcast hint if its rows and their bytes are counted to be few."""
+
+    def size(name: str, kind: str):
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)) + 16
+        if kind.startswith(("array", "struct", "map")):
+            return F.coalesce(F.octet_length(F.col(f"`{name}`").cast("string")), F.lit(0)) + 16
+        return F.lit(16)
+
+    row = sum((size(*c) for c in df.dtypes), F.lit(0))
+    rows, held = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and held <= BROADCAST_BYTES else df
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``materialize`` that no later plan reads."""
     spark, path = df.sparkSession, df._gaugeflow_path
