@@ -6,10 +6,12 @@ the slots that bring the heaviest and the lightest shard together, so most slots
 stay where they were.  Only the slot totals (one row a slot, a fixed number)
 reach the driver; texts are never shuffled.
 
-Equal texts hash to one slot and so to one shard.  A group of equal texts whose
-bytes exceed half a shard is dealt over all slots by record instead;
-there can be only ``shards * GROUP_PARTS`` such groups, a bound on what is
-broadcast.
+Equal texts hash to one slot and so to one shard.  A group of equal texts that
+exceeds half a shard in bytes or in rows is dealt over all slots by id instead,
+and by row where it repeats an id as often; there can be only
+``2 * shards * GROUP_PARTS`` groups of either kind, a bound on what is broadcast.
+Places in a shard come from counts of small parts of the slots, so no task sorts
+a slot.
 
 Defined results: a null text has no bytes and the checksum of no bytes; a null
 id is a value like any other; repeated rows are separate records; an empty table
@@ -33,6 +35,8 @@ SLOTS = 8192
 OVERHEAD = 16
 #: A group of equal texts above 1/GROUP_PARTS of a shard's mean is dealt out.
 GROUP_PARTS = 2
+#: Parts of a slot, each of which a task numbers.
+PARTS = 64
 #: Rebalancing stops when the shards' bytes lie within this part of their mean.
 TOLERANCE = 0.001
 
@@ -60,12 +64,13 @@ class SlotMap:
                 owner[slot] = self.shards
         return SlotMap(self.version + 1, self.shards + 1, owner)
 
-    def rebalanced(self, weight: dict[int, int], tolerance: float = TOLERANCE, most: int = 200_000) -> SlotMap:
+    def rebalanced(self, weight: dict[int, int], tolerance: float = TOLERANCE) -> SlotMap:
         """Move or swap slots between the heaviest and the lightest shard until they are near.
 
         ``weight`` gives the bytes of slots.  Each step takes the move, or else
         the exchange of two slots, that comes closest to half the gap; it ends
-        when none narrows it.  Ties go to the lower slot, so reruns agree.
+        when none narrows it.  Every step narrows a gap of whole bytes, so there
+        is an end.  Ties go to the lower slot, so reruns agree.
         """
         owner = list(self.owner)
         held: list[list[tuple[int, int]]] = [[] for _ in range(self.shards)]
@@ -89,7 +94,7 @@ class SlotMap:
             total[source] -= item[0]
             total[target] += item[0]
 
-        for _ in range(most):
+        while True:
             while -high[0][0] != total[high[0][1]]:
                 heapq.heappop(high)
             while low[0][0] != total[low[0][1]]:
@@ -127,6 +132,13 @@ class SlotMap:
         """Store this version beside the earlier ones; saving it again changes nothing."""
         self.table(spark).coalesce(1).drop("version").write.mode("overwrite").parquet(f"{path}/version={self.version}")
 
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str) -> bool:
+        """Whether any version is stored at ``path``."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        return files.exists(folder) and any(s.getPath().getName().startswith("version=") for s in files.listStatus(folder))
+
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
         """A stored version, the latest unless one is named."""
@@ -147,33 +159,46 @@ def _rank(found: tuple) -> tuple:
 
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A small row per record: id, size, checksum and content hash."""
+    """A small row per record: id, size, checksum, content hash and a number of its own."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text).cast("long").alias("text_crc32"),
         F.xxhash64(text).alias("content"),
+        F.monotonically_increasing_id().alias("record"),
     )
 
 
 def with_slots(light: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
-    """Add ``virtual_slot``: of the content, or of the record in a group too large for one shard."""
-    total = light.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    limit = max(1, total // (shards * GROUP_PARTS))
-    groups = (
-        light.groupBy("content", "size")
-        .agg((F.count(F.lit(1)) * F.col("size")).alias("group_bytes"), F.count(F.lit(1)).alias("copies"))
-        .where((F.col("group_bytes") > limit) & (F.col("copies") > 1))
-        .select(F.col("content"), F.col("size"), F.lit(True).alias("dealt"))
-    )
-    salted = F.xxhash64("content", "doc_id")
-    return (
-        light.join(F.broadcast(groups), ["content", "size"], "left")  # at most shards * GROUP_PARTS rows
-        .withColumn("virtual_slot", F.pmod(F.when(F.col("dealt"), salted).otherwise(F.col("content")), F.lit(slots)))
-        .withColumn("virtual_slot", F.col("virtual_slot").cast("int"))
-        .drop("dealt")
-    )
+    """Add ``virtual_slot`` and ``part``: of the content, or of the id or record in a group too large for one shard.
+
+    ``light`` is read several times and so has to be a stored table of ``records``.
+    """
+    whole = light.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    most_bytes, most_rows = (max(1, n // (shards * GROUP_PARTS)) for n in (whole.bytes, whole.rows))
+
+    def large(rows: DataFrame, keys: list[str], mark: str) -> DataFrame:
+        """The groups above the limits, at most ``2 * shards * GROUP_PARTS``."""
+        copies = F.count(F.lit(1))
+        groups = rows.groupBy(*keys, "size").agg(copies.alias("copies"))
+        above = (F.col("copies") * F.col("size") > most_bytes) | (F.col("copies") > most_rows)
+        return F.broadcast(groups.where(above & (F.col("copies") > 1)).select(*keys, "size", F.lit(True).alias(mark)))
+
+    by_text = light.join(large(light, ["content"], "dealt"), ["content", "size"], "left")
+    # nulls are equal here: the key is the hash of the id
+    keyed = by_text.withColumn("whose", F.xxhash64("content", "doc_id"))
+    repeated = large(keyed.where("dealt"), ["whose"], "repeated")
+    joined = keyed.join(repeated, ["whose", "size"], "left")
+    by_record = F.xxhash64("whose", "record")
+    place = F.when(F.col("repeated"), by_record).when(F.col("dealt"), F.col("whose")).otherwise(F.col("content"))
+    part = F.when(F.col("repeated"), by_record).otherwise(F.col("whose"))
+    return joined.withColumns(
+        {
+            "virtual_slot": F.pmod(place, F.lit(slots)).cast("int"),
+            "part": F.pmod(F.xxhash64(F.lit("part"), part), F.lit(PARTS)).cast("int"),
+        }
+    ).drop("dealt", "repeated", "whose", "record")
 
 
 def shard(
@@ -190,16 +215,23 @@ def shard(
 
     Columns: doc_id, size, text_crc32, law, shard, slot, grown_shard,
     virtual_slot, map_version.  ``slot`` is the record's place in its shard,
-    gapless from 0.  ``start`` is the map to edit (a fresh one if none);
-    with ``map_path`` its version and the edited one are stored there.
+    gapless from 0.  ``start`` is the map to edit, or else the latest version at
+    ``map_path``, or else a fresh one; the edited version is stored beside it.
     """
     spark = docs.sparkSession
     light = materialize(with_slots(materialize(records(docs, id_col, text_col), "shard-records"), shards, slots), "shard-slots")
-    totals = light.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
+    counts = light.groupBy("virtual_slot", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    counts = materialize(counts, "shard-counts")  # at most slots * PARTS rows
+    totals = counts.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).collect()
+    if start is None and map_path and SlotMap.stored(spark, map_path):
+        start = SlotMap.load(spark, map_path)
     before = start or SlotMap.initial(slots, shards)
+    if (before.shards, len(before.owner)) != (shards, slots):
+        raise ValueError(f"the map has {len(before.owner)} slots and {before.shards} shards, not {slots} and {shards}")
     after = before.rebalanced({r.virtual_slot: r.bytes for r in totals})
     if map_path:
-        before.save(spark, map_path)
+        if not SlotMap.stored(spark, map_path):
+            before.save(spark, map_path)
         after.save(spark, map_path)
     rows = {r.virtual_slot: r.rows for r in totals}
     base, filled = [], [0] * shards
@@ -207,8 +239,12 @@ def shard(
         base.append((slot, owner, filled[owner]))
         filled[owner] += rows.get(slot, 0)
     places = spark.createDataFrame(base, "virtual_slot int, shard int, base long")
-    within = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
-    return light.join(F.broadcast(places), "virtual_slot").select(  # one row a slot
+    earlier = Window.partitionBy("virtual_slot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.join(F.broadcast(places), "virtual_slot").select(  # one row a slot
+        "virtual_slot", "part", "shard", (F.col("base") + F.coalesce(F.sum("rows").over(earlier), F.lit(0))).alias("base")
+    )
+    within = Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size", "content")
+    return light.join(offsets, ["virtual_slot", "part"]).select(
         "doc_id",
         "size",
         "text_crc32",
