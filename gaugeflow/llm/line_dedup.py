@@ -17,8 +17,10 @@ the texts.
 Defined results: lines end at line feeds; lines of fewer than ``min_chars``
 characters are kept, or, with ``exact_short``, dropped if an earlier line is equal
 and they aren't blank; a null text has no lines and stays null; an empty
-text is one empty line; null ids come last; rows that repeat an id are one
-place and keep the same lines; an empty table gives an empty result.
+text is one empty line; null ids come last; rows that repeat an id come in the
+order of a hash of their texts, and of rows that repeat id and text one is the
+first; an empty table gives an empty result; a column named ``__lines`` or
+``__kept`` gives way to the counts.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.runtime import BROADCAST_ROWS, discard, materialize
+from gaugeflow.llm.runtime import discard, materialize, sided
 
 #: Lines below it are kept.
 MIN_CHARS = 20
@@ -63,8 +65,8 @@ def _segment_keys(line: Column, size: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Every line of ``docs`` (id, text): id, place, line."""
-    return docs.select("id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+    """Every line of ``docs`` (id, doc, text): id, doc, place, line."""
+    return docs.select("id", "doc", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
 
 
 def _marked(lines: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def _marked(lines: DataFrame) -> DataFrame:
         {
             "h1": F.xxhash64("line"),
             "h2": F.xxhash64(F.lit("line"), F.col("line")),
-            "rank": F.struct(F.col("id").isNull().alias("last"), "id", "place"),
+            "rank": F.struct(F.col("id").isNull().alias("last"), "id", "doc", "place"),
             "size": F.length("line"),
         }
     )
@@ -110,12 +112,21 @@ def _variants(lines: DataFrame) -> DataFrame:
     return rows.select("h1", "h2", "rank", F.explode(emitted).alias("v")).select("h1", "h2", "rank", "v.*")
 
 
-def kept_places(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, place) of the lines of ``docs`` (id, text) that stay, of those with ``min_chars`` or more."""
+def _bare(line: Column, min_chars: int) -> Column:
+    """A line of fewer than ``min_chars`` characters that isn't blank."""
+    return (F.length(line) < min_chars) & F.rlike(line, F.lit(r"\S"))
+
+
+def kept_places(docs: DataFrame, *, min_chars: int = MIN_CHARS, exact_short: bool = False) -> DataFrame:
+    """(id, doc, place) of the lines of ``docs`` (id, doc, text) that stay.
+
+    These are lines of ``min_chars`` or more and, with ``exact_short``, shorter
+    ones that aren't blank; shorter ones have no keys, so only equal ones meet.
+    """
+    long = F.col("size") >= min_chars
+    keys = F.when(long, _keys(F.col("line"), F.col("size"))).otherwise(F.array().cast("array<bigint>"))
     lines = materialize(
-        _marked(_lines(docs).where(F.length("line") >= min_chars)).select(
-            "h1", "h2", "rank", _keys(F.col("line"), F.col("size")).alias("keys")
-        ),
+        _marked(_lines(docs)).where(long | _bare(F.col("line"), min_chars) if exact_short else long).select("h1", "h2", "rank", keys.alias("keys")),
         "lines",
     )
     # the keys of equal lines are equal, so any will do
@@ -133,11 +144,8 @@ def kept_places(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
         firsts.join(near.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "rank"), "places"
     )
     # the texts of lines that share a key, each from its first place
-    wanted = materialize(places.select(F.col("rank.id").alias("id")).distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    some = docs.alias("d").join(
-        (F.broadcast(wanted) if few else wanted).alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")), "left_semi"
-    )
+    wanted = materialize(places.select(F.col("rank.doc").alias("doc")).distinct(), "wanted")
+    some = docs.join(sided(wanted), "doc", "left_semi")
     texts = _marked(_lines(some).where(F.length("line") >= min_chars)).select("h1", "h2", "rank", "size", "line")
     texts = materialize(texts.join(places, ["h1", "h2", "rank"], "left_semi").dropDuplicates(["h1", "h2"]), "texts")
     segments = texts.withColumn("k", F.explode(_segment_keys(F.col("line"), F.col("size")))).select("h1", "h2", "rank", "size", "line", "k.*")
@@ -173,21 +181,30 @@ def kept_places(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
         pairs.join(mine, ["h1", "h2"]).join(theirs, ["o1", "o2"]).where(F.levenshtein("x", "y", 1) >= 0).select("h1", "h2")
     )
     dropped = materialize(dropped.distinct(), "dropped")
-    return firsts.join(dropped, ["h1", "h2"], "left_anti").select(
-        F.col("rank.id").alias("id"), F.col("rank.place").alias("place")
-    )
+    return firsts.join(dropped, ["h1", "h2"], "left_anti").select("rank.id", "rank.doc", "rank.place")
 
 
-def _bare(line: Column, min_chars: int) -> Column:
-    """A line of fewer than ``min_chars`` characters that isn't blank."""
-    return (F.length(line) < min_chars) & F.rlike(line, F.lit(r"\S"))
+def _flags(places: Column) -> Column:
+    """An array that holds true at ``places`` (ascending) and false between them, built in one pass."""
+    before = lambda i: F.when(i == 0, -1).otherwise(F.get(places, i - 1))
+    run = lambda i: F.array_append(F.array_repeat(F.lit(False), (F.get(places, i) - before(i) - 1).cast("int")), F.lit(True))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(places) - 1), run))
 
 
-def kept_short_places(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, place) of the first of equal lines of ``docs`` (id, text) that aren't blank, of those below ``min_chars``."""
-    lines = _marked(_lines(docs).where(_bare(F.col("line"), min_chars)))
-    firsts = lines.groupBy("h1", "h2").agg(F.min("rank").alias("rank"))
-    return firsts.select(F.col("rank.id").alias("id"), F.col("rank.place").alias("place"))
+def _firsts_of_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` (with __id, __doc) and ``__first``: false for all but one of the rows that repeat id and text."""
+    twice = docs.groupBy("__id", "__doc").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    twice = materialize(twice, "repeats")
+    if twice.isEmpty():
+        return docs.withColumn("__first", F.lit(True))
+    same = F.col("d.__id").eqNullSafe(F.col("r.__id")) & (F.col("d.__doc") == F.col("r.__doc"))
+    # only repeated rows are stored with a number, the least of which is first
+    some = docs.alias("d").join(twice.alias("r"), same, "left_semi").withColumn("__row", F.monotonically_increasing_id())
+    some = materialize(some, "repeated")
+    least = some.groupBy("__id", "__doc").agg(F.min("__row").alias("__row")).select("__row", F.lit(True).alias("__least"))
+    marked = some.join(least, "__row", "left").withColumn("__first", F.coalesce("__least", F.lit(False)))
+    rest = docs.alias("d").join(twice.alias("r"), same, "left_anti").withColumn("__first", F.lit(True))
+    return rest.unionByName(marked.select(*rest.columns))
 
 
 def dedupe_lines(
@@ -202,23 +219,33 @@ def dedupe_lines(
 
     With ``exact_short`` lines below ``min_chars`` are deduplicated too, by equality.
     """
-    light = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    places = kept_places(light, min_chars=min_chars)
-    if exact_short:
-        places = places.union(kept_short_places(light, min_chars=min_chars))
+    columns = [c for c in docs.columns if c not in ("__lines", "__kept")]
+    named = docs.select(
+        *[F.col(f"`{c}`").alias(f"c_{c}") for c in columns],
+        F.col(f"`{id_col}`").alias("__id"),
+        F.xxhash64(F.col(f"`{text_col}`").isNull(), F.col(f"`{text_col}`")).alias("__doc"),
+    )
+    text = F.col(f"`c_{text_col}`")
+    light = named.select(F.col("__id").alias("id"), F.col("__doc").alias("doc"), text.alias("text"))
     kept = (
-        places.groupBy("id")
-        .agg(F.collect_list("place").alias("__places"))
-        .withColumnRenamed("id", "__id")
+        kept_places(light, min_chars=min_chars, exact_short=exact_short)
+        .groupBy(F.col("id").alias("k_id"), F.col("doc").alias("k_doc"))
+        .agg(F.sort_array(F.collect_list("place")).alias("places"))
+        .select("k_id", "k_doc", _flags(F.col("places")).alias("__flags"))
     )
-    split = F.split(F.col(text_col), "\n", -1)
+    same = F.col("__id").eqNullSafe(F.col("k_id")) & (F.col("__doc") == F.col("k_doc"))
+    joined = _firsts_of_repeats(named).join(kept, same, "left")
+    split = F.split(text, "\n", -1)
     free = lambda line: (F.length(line) < min_chars) & (~_bare(line, min_chars) if exact_short else F.lit(True))
-    stays = F.filter(split, lambda line, i: free(line) | F.coalesce(F.array_contains("__places", i), F.lit(False)))
-    joined = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left").withColumn("__stays", stays)
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    text = F.array_join("__stays", "\n").alias(text_col)
-    count = lambda array: F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(array)), F.lit(0)).cast("long")
-    return joined.select(*columns, text, count(split).alias("__lines"), count(F.col("__stays")).alias("__kept"))
+    # a place of an array is found at once, so a document costs its lines
+    stays = F.filter(split, lambda line, i: free(line) | (F.col("__first") & F.coalesce(F.get(F.col("__flags"), i), F.lit(False))))
+    joined = joined.withColumn("__stays", stays)
+    count = lambda array: F.coalesce(F.when(text.isNotNull(), F.size(array)), F.lit(0)).cast("long")
+    return joined.select(
+        *[(F.array_join("__stays", "\n") if c == text_col else F.col(f"`c_{c}`")).alias(c) for c in columns],
+        count(split).alias("__lines"),
+        count(F.col("__stays")).alias("__kept"),
+    )
 
 
 def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
