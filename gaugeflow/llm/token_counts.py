@@ -14,7 +14,8 @@ on the driver from the path it is given and sent to them.
 Defined results: a null or empty text has 0 tokens and is a document; null
 sources and languages are groups of their own; repeated rows count each time;
 groups whose documents and tokens are both 0 are left out; an empty table gives
-an empty delta.
+an empty delta; other columns of the input are ignored.  ``report`` counts equal
+texts once, for the row of least id, source and language, nulls last.
 """
 
 from __future__ import annotations
@@ -172,7 +173,7 @@ def report(docs: DataFrame, path: str, *, vocabulary: str = VOCABULARY) -> DataF
 
     Documents are inserted with their word count as a provisional count of every
     tokenizer; the batch is delivered twice and counted once; the counts are
-    revised to the tokenizers' own; and documents whose text an earlier id has
+    revised to the tokenizers' own; and documents whose text an earlier one has
     are deleted.
     """
     spark = docs.sparkSession
@@ -198,10 +199,12 @@ def report(docs: DataFrame, path: str, *, vocabulary: str = VOCABULARY) -> DataF
     rollup.commit("1-insert", inserted)
     rollup.commit("1-insert", inserted)
     rollup.commit("2-revise", revisions(by_tokenizer, "first_tokens", "tokens"))
-    # of each text's rows only one of the least id stays
-    firsts = by_tokenizer.groupBy("tokenizer", "digest").agg(F.min("doc_id").alias("least"))
-    kept = by_tokenizer.join(firsts, ["tokenizer", "digest"]).withColumn(
-        "gone", F.when(F.col("doc_id").eqNullSafe(F.col("least")), F.col("rows") - 1).otherwise(F.col("rows"))
+    # of the rows of equal texts one stays, in a total order
+    order = F.struct(*[x for c in ("doc_id", "source", "lang") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))])
+    ranked = by_tokenizer.withColumn("order", order)
+    firsts = ranked.groupBy("tokenizer", "digest").agg(F.min("order").alias("least"))
+    kept = ranked.join(firsts, ["tokenizer", "digest"]).withColumn(
+        "gone", F.when(F.col("order").eqNullSafe(F.col("least")), F.col("rows") - 1).otherwise(F.col("rows"))
     )
     rollup.commit("3-delete", delta(kept, -F.col("gone"), -F.col("gone") * F.floor(F.col("tokens") / F.col("rows"))))
     return rollup.totals()
