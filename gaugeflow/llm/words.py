@@ -152,3 +152,12 @@ def grams(hashes: np.ndarray, size: int) -> np.ndarray:
         out *= _STEP
         out += hashes[k : k + n]
     return mix64(out)
+
+
+def grams_at(hashes: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
+    """Hashes, as ``grams`` has them, of the runs of ``size`` words that begin at ``begin``."""
+    out = np.full(len(begin), np.uint64(size), np.uint64)
+    for k in range(size):
+        out *= _STEP
+        out += hashes[begin + k]
+    return mix64(out)
