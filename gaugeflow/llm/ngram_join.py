@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.llm.components import connected_components
-from gaugeflow.llm.runtime import BROADCAST_ROWS, discard, materialize
+from gaugeflow.llm.runtime import discard, materialize, sided
 from gaugeflow.llm.words import NOT_SPACE, Words, column_bytes, grams, mix64
 
 WORDS = 5
@@ -351,8 +351,7 @@ def class_links(members: DataFrame, sizes: DataFrame, texts: DataFrame, words: i
         )
     )
     places = materialize(places, "places")
-    side = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
-    tasks = set_rows(texts, words).join(side, "class").select("unit", "i", "j", "block", "class", "sketch", "items")
+    tasks = set_rows(texts, words).join(sided(places), "class").select("unit", "i", "j", "block", "class", "sketch", "items")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = tasks.repartition(parts, "unit", "i", "j").sortWithinPartitions("unit", "i", "j", "class")
     return materialize(ordered.mapInArrow(_compare(percent), "a long, b long"), "links")
@@ -371,8 +370,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
         rows.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     )
     chosen = materialize(chosen, "chosen")
-    ids = chosen.select("id")
-    ids = F.broadcast(ids) if chosen.count() <= BROADCAST_ROWS else ids
+    ids = sided(chosen.select("id"))
     texts = light.alias("l").join(ids.alias("c"), F.col("l.id").eqNullSafe(F.col("c.id")), "left_semi").select("text")
     labels = connected_components(class_links(members, chosen.select("class", "n"), texts, words, percent))
     discard(members)
@@ -435,9 +433,8 @@ def keep_first(
         .drop("__firsts"),
         "kept",
     )
-    n, most = kept.agg(F.count(F.lit(1)), F.max("__rows")).first()
-    side = F.broadcast(kept) if n <= BROADCAST_ROWS else kept
-    joined = docs.join(side, F.col(id_col) == F.col("__kept"), "left")
+    most = kept.agg(F.max("__rows")).first()[0]
+    joined = docs.join(sided(kept), F.col(id_col) == F.col("__kept"), "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     if not most or most == 1:
         return joined.where(F.col(id_col).isNull() | F.col("__kept").isNotNull()).select(*columns)
