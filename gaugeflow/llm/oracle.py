@@ -135,11 +135,22 @@ FROM u LEFT JOIN (SELECT * FROM fit WHERE o = 1) f USING (page_id)
 """
 
 
+OP7 = r"""
+WITH p AS (SELECT page_id, url, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to, url AS target_uri
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": OP2,
         "op4_decontamination": OP4,
         "op5_ngram_join": OP5,
+        "op7_warc": OP7,
         "op9_url_filters": OP9,
         "op10_mixing": OP10,
     }

@@ -6,12 +6,14 @@ record's headers first and skips its block unless the record is wanted and its
 payload asked for.  Records are gzip members of their own; members written here
 carry their length in an ``SL`` extra field, so an unwanted one is skipped
 without being inflated.  Members without the field, and plain ``.warc`` files,
-are read as well.
+are read as well.  Files are read through one window, so bytes are fetched once,
+and skips beyond it are not fetched at all.
 
 ``df.write.format("warc").mode("append").save(path)`` writes such archives.  A
 task writes files under names of its own attempt and the commit adds a manifest
 that lists the files of the successful tasks; the reader follows the manifests,
-so lost executors and repeated attempts leave no extra records.
+so lost executors and repeated attempts leave no extra records.  Paths are
+completed by Hadoop's default file system, as Spark's own are.
 
 Defined results: a null payload is empty; null headers are left out and read as
 null; control characters in headers are percent-encoded; an empty table gives an
@@ -31,7 +33,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
@@ -46,7 +48,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from gaugeflow.llm.runtime import BROADCAST_ROWS, materialize
+from gaugeflow.llm.runtime import materialize, sided
 
 SCHEMA = (
     "record_type string, record_id string, target_uri string, payload_digest string, "
@@ -58,11 +60,20 @@ FILE_BYTES = 64 << 20
 #: Equal payloads of fewer bytes are stored again.
 REVISIT_BYTES = 100
 _CHUNK = 64 << 10
+#: Bytes that are fetched from a file at a time.
+_WINDOW = 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and authority that Hadoop's configuration gives it."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(named).toString()
+
+
 def store(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path and the path in it."""
+    """The file system of a path and the path in it; ``s3a`` and ``s3n`` are ``s3``."""
+    path = re.sub(r"^s3[an]://", "s3://", path)
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
@@ -100,6 +111,33 @@ def encode(record: dict) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(raw), len(raw) % 2**32)
 
 
+class _Window:
+    """A file read in pieces of ``_WINDOW`` bytes; places in the current piece cost no access."""
+
+    def __init__(self, file):
+        self.file, self.at, self.begin, self.data = file, 0, 0, b""
+
+    def read(self, n: int) -> bytes:
+        parts = []
+        while n > 0:
+            inside = self.at - self.begin
+            if not 0 <= inside < len(self.data):
+                self.file.seek(self.at)
+                self.begin, self.data, inside = self.at, self.file.read(_WINDOW), 0
+                if not self.data:
+                    break
+            parts.append(self.data[inside : inside + n])
+            self.at += len(parts[-1])
+            n -= len(parts[-1])
+        return b"".join(parts)
+
+    def seek(self, place: int) -> None:
+        self.at = place
+
+    def tell(self) -> int:
+        return self.at
+
+
 class _Plain:
     """An uncompressed record stream."""
 
@@ -161,7 +199,8 @@ class _Member:
         if self.inflate.eof:
             return False
         if not self.fed:
-            self.fed = self.file.read(_CHUNK)
+            left = self.start + self.length - self.file.tell() if self.length else _CHUNK
+            self.fed = self.file.read(min(_CHUNK, max(1, left)))
             if not self.fed:
                 raise ValueError(f"the record at byte {self.start} is cut off")
         self.out += self.inflate.decompress(self.fed, most)
@@ -194,7 +233,7 @@ class _Member:
         while not self.inflate.eof:
             self.out = b""
             self._more(_CHUNK)
-        return self.file.tell() - len(self.inflate.unused_data) + 8
+        return self.file.tell() - len(self.inflate.unused_data) + 8  # behind checksum and length
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -221,6 +260,7 @@ def _row(fields: dict[str, str]) -> dict:
 
 def records(file, size: int, compressed: bool, wanted, decode: bool, verify: bool) -> Iterator[dict]:
     """The rows of an open archive that ``wanted`` accepts by their headers."""
+    file = _Window(file)
     at, plain = 0, None if compressed else _Plain(file, 0)
     while compressed and at < size or not compressed:
         stream = _Member(file, at) if compressed else plain
@@ -422,8 +462,7 @@ def to_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
         .select("payload_digest", "first"),
         "warc-firsts",
     )
-    few = firsts.count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(firsts) if few else firsts, "payload_digest", "left")
+    joined = rows.join(sided(firsts), "payload_digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.col(c).cast("string"))
     return joined.select(
@@ -439,26 +478,40 @@ def to_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
 
 def write_archive(pages: DataFrame, path: str, **columns) -> None:
     """Write ``pages`` as WARC archives below ``path``."""
-    pages.sparkSession.dataSource.register(WarcDataSource)
-    to_records(pages, **columns).write.format("warc").mode("append").save(path)
+    spark = pages.sparkSession
+    spark.dataSource.register(WarcDataSource)
+    to_records(pages, **columns).write.format("warc").mode("append").save(qualified(spark, path))
 
 
-def read_archive(spark, path: str, **options) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, **options) -> DataFrame:
     """The records below ``path``."""
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("warc").options(**options).load(path)
+    return spark.read.format("warc").options(**options).load(qualified(spark, path))
 
 
 def round_trip(pages: DataFrame, path: str) -> DataFrame:
-    """Write ``pages``, read them back with verified digests: one row per page."""
+    """Write ``pages``, read them back: one row per page.
+
+    Revisits come from a reading of the headers of these records alone; of
+    responses, which another reading decodes, size and digest are measured on
+    the payload and held against the digest in the headers.
+    """
+    spark = pages.sparkSession
     write_archive(pages, path)
-    back = read_archive(pages.sparkSession, path, payload="skip", verify="true")
-    number = lambda c: F.expr(f"try_cast(substr({c}, 10) AS bigint)")
-    return back.select(
-        number("record_id").alias("page_id"),
-        "payload_bytes",
-        "payload_digest",
-        "record_type",
-        number("refers_to").alias("refers_to"),
-        "target_uri",
+    number = lambda c: F.expr(f"try_cast(substr({c}, 10) AS bigint)").alias(c)
+
+    def rows(back: DataFrame, size, digest) -> DataFrame:
+        return back.select(
+            number("record_id").alias("page_id"),
+            size.alias("payload_bytes"),
+            digest.alias("payload_digest"),
+            "record_type",
+            number("refers_to").alias("refers_to"),
+            "target_uri",
+        )
+
+    revisits = read_archive(spark, path, payload="skip").where("record_type = 'revisit'")
+    responses = read_archive(spark, path, verify="true").where("record_type = 'response'")
+    return rows(responses, F.octet_length("payload").cast("long"), F.sha2("payload", 256)).union(
+        rows(revisits, F.col("payload_bytes"), F.col("payload_digest"))
     )
