@@ -6,14 +6,16 @@ by its logarithm; the digest is their hexadecimal text.  The difference of two
 digests sums the quartile steps and the length steps and is bounded by what
 unrelated digests reach; likeness is 1 less the difference's part of that bound.
 
-``next_rows`` pairs every document with the next one by id: ids are cut into
-ranges, the first document of each range is also sent to the range before, and
-a task streams through its sorted ranges.  A text is shuffled once.
+``report`` compares every document with the next one by id.  Texts are shuffled
+once, into ranges of ids, and a task streams through its sorted range.  The first
+and the last row of each range are written beside the results, and a small join
+of them completes the last rows; nothing of a range reaches the driver.
 
 Defined results: null and empty texts, and texts of fewer than three bytes, have
 all counts 0; equal texts have equal digests; two digests without counts have
-likeness 1; rows of one id are ordered by text; null ids come first; an empty
-table gives an empty result.
+likeness 1; ids may have any type that can be ordered; rows of one id are ordered
+by a hash of their text; null ids come first; a single row is the next of itself;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeflow.llm.runtime import materialize
 from gaugeflow.llm.words import column_bytes
 
 BUCKETS = 1024
@@ -109,63 +112,11 @@ def fingerprint(docs: DataFrame, *, text_col: str = "text", digest_col: str = "f
     return docs.mapInArrow(run, f"{columns}, `{digest_col}` string")
 
 
-def range_of(value: Column, bounds: list[int]) -> Column:
-    """How many of the ascending ``bounds`` are at most ``value``; null is 0.
-
-    Bounds are looked up in two levels, so a row costs the root of their number.
-    """
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    below = lambda array: F.size(F.filter(array, lambda b: b <= value))
-    top = below(F.array(*[F.lit(g[0]).cast("long") for g in groups]))
-    inner = F.element_at(
-        F.array(*[F.array(*[F.lit(b).cast("long") for b in g]) for g in groups]), F.greatest(top, F.lit(1))
-    )
-    return F.when(value.isNull() | (top == 0), F.lit(0)).otherwise((top - 1) * step + below(inner))
-
-
-def next_rows(docs: DataFrame) -> DataFrame:
-    """Rows (part, ahead, id, text) of ``docs`` (id, text), sorted in their partitions.
-
-    Within a part the rows ascend by id; the row with ``ahead`` 1 is the first of
-    the part after, or of the first part after the last.
-    """
-    size = docs.agg(F.sum(F.length("text")), F.count(F.lit(1))).first()
-    parts = max(1, min(int(size[1] or 0), -(-int(size[0] or 0) // RANGE_CHARS)))
-    cuts = [i / parts for i in range(1, parts)]
-    bounds = docs.agg(F.percentile_approx("id", cuts, 100 * parts)).first()[0] if cuts else []
-    bounds = sorted(set(bounds or ()))
-    part = range_of(F.col("id"), bounds)
-    # one row a part
-    heads = docs.groupBy(part.alias("part")).agg(
-        F.min("id").alias("head"), F.count_if(F.col("id").isNull()).alias("nulls")
-    ).collect()
-    heads = sorted((r.part, None if r.nulls else r.head) for r in heads)
-    before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
-    real = sorted((h, p) for h, p in before.items() if h is not None)
-    ahead = F.lit(None).cast("int")
-    if real:
-        place = F.array_position(F.array(*[F.lit(h).cast("long") for h, _ in real]), F.col("id"))
-        target = F.element_at(F.array(*[F.lit(p) for _, p in real]), F.greatest(place, F.lit(1)).cast("int"))
-        ahead = F.when(F.col("id").isin([h for h, _ in real]), target)
-    if None in before:
-        ahead = F.when(F.col("id").isNull(), F.lit(before[None])).otherwise(ahead)
-    own = F.struct(part.cast("int").alias("part"), F.lit(0).alias("ahead"))
-    other = F.struct(ahead.cast("int").alias("part"), F.lit(1).alias("ahead"))
-    sent = docs.select(
-        F.explode(F.when(ahead.isNull(), F.array(own)).otherwise(F.array(own, other))).alias("to"), "id", "text"
-    )
-    return sent.select("to.part", "to.ahead", "id", "text").repartition(max(1, len(heads)), "part").sortWithinPartitions(
-        "part", "ahead", F.col("id").asc_nulls_first(), "text"
-    )
-
-
 RESULT = (
     "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double"
 )
+_NAMES = [x.split()[0] for x in RESULT.split(", ")]
 
 
 def edited(text: str, following: str) -> str:
@@ -174,45 +125,81 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
+def _measured(texts: list[str]) -> list[pa.Array]:
+    """The columns of ``RESULT`` for all but the last of ``texts``, each with the one after it."""
+    plain = digests(*column_bytes(pa.array(texts, pa.string())))
+    changed = [edited(a, b) for a, b in zip(texts, texts[1:])]
+    other = digests(*column_bytes(pa.array(changed, pa.string())))
+    own = plain[0][:-1], plain[1][:-1]
+    return [
+        pa.array([len(t) for t in texts[:-1]], pa.int64()),
+        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
+        pa.array(as_text(*own), pa.string()),
+        pa.array(as_text(*other), pa.string()),
+        pa.array(likeness(own, other), pa.float64()),
+        pa.array(likeness(own, (plain[0][1:], plain[1][1:])), pa.float64()),
+    ]
+
+
+def _ranges(light: DataFrame, kind: str) -> DataFrame:
+    """Results of the sorted ranges of ``light`` (part, id, text), and their open ends.
+
+    Columns: id, those of ``RESULT``, part, head and last; ``head`` is the text
+    of a range's first row, and of its last row only id and ``last``, its text,
+    are given.
+    """
+
+    def row(id_: pa.Array, results: list[pa.Array] | None, part: int, head: str | None, last: str | None) -> pa.RecordBatch:
+        n = len(id_)
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        results = results or [pa.nulls(n, k) for k in kinds]
+        rest = [pa.array([part] * n, pa.int32()), pa.array([head] + [None] * (n - 1), pa.string()), pa.array([last] * n, pa.string())]
+        return pa.RecordBatch.from_arrays([id_, *results, *rest], names=["id", *_NAMES, "part", "head", "last"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, ids, part, first, begun = [], [], 0, None, False
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                some = batch.slice(low, 512)
+                part, more = some.column(0)[0].as_py(), some.column(2).to_pylist()
+                if not begun:
+                    first, begun = more[0], True
+                every, texts = pa.concat_arrays([*ids, some.column(1)]), texts + more
+                if len(texts) > 1:
+                    yield row(every[:-1], _measured(texts), part, first, None)
+                    first = None
+                ids, texts = [every[-1:]], texts[-1:]
+        if ids:
+            yield row(ids[0], None, part, first, texts[0])
+
+    return light.mapInArrow(run, f"id {kind}, {RESULT}, part int, head string, last string")
+
+
 def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its digest, its edited text's, and their likeness."""
     light = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = light.schema["id"].dataType.simpleString()
-
-    def measured(ids: list, texts: list[str]) -> pa.RecordBatch:
-        """Rows for all but the last of ``texts``, each with the one after it."""
-        plain = digests(*column_bytes(pa.array(texts, pa.string())))
-        changed = [edited(a, b) for a, b in zip(texts, texts[1:])]
-        other = digests(*column_bytes(pa.array(changed, pa.string())))
-        own = plain[0][:-1], plain[1][:-1]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids[:-1], pa.int64()),
-                pa.array([len(t) for t in texts[:-1]], pa.int64()),
-                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
-                pa.array(as_text(*own)),
-                pa.array(as_text(*other)),
-                pa.array(likeness(own, other)),
-                pa.array(likeness(own, (plain[0][1:], plain[1][1:]))),
-            ],
-            names=["doc_id", *[x.split()[0] for x in RESULT.split(", ")]],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, texts, size, done = None, [], [], 0, False
+    size = light.agg(F.sum(F.length("text")), F.count(F.lit(1))).first()
+    parts = max(1, min(int(size[1] or 0), -(-int(size[0] or 0) // RANGE_CHARS)))
+    # the hash and the row's number spread the rows of one id; equal rows may stand in any order
+    order = [F.col("id").asc_nulls_first(), F.col("hash"), F.col("row")]
+    dealt = light.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ranged = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    found = materialize(_ranges(ranged.select(F.spark_partition_id().alias("part"), "id", "text"), kind), "ranges")
+    # a row a range from here on; the range after the last is the first
+    heads = found.where("head IS NOT NULL").select("part", "head")
+    numbers = heads.select("part", F.lead("part").over(Window.partitionBy().orderBy("part")).alias("after"))
+    least = heads.agg(F.min("part").alias("least"))
+    numbers = numbers.join(F.broadcast(least)).select("part", F.coalesce("after", "least").alias("after"))  # one row
+    following = numbers.join(heads.withColumnRenamed("part", "after"), "after").select("part", "head")
+    lasts = found.where("last IS NOT NULL").select("id", "last", "part").join(following, "part").select("id", "last", "head")
+
+    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(4)]
-            for part, ahead, id_, text in zip(*columns, strict=True):
-                if part != at:
-                    at, ids, texts, size, done = part, [], [], 0, False
-                if done:  # rows that repeat the id of the part after
-                    continue
-                ids.append(id_)
-                texts.append(text)
-                size += len(text)
-                done = ahead == 1
-                if len(texts) > 1 and (done or size > 1 << 20 or len(texts) > 512):
-                    yield measured(ids, texts)
-                    ids, texts, size = ids[-1:], texts[-1:], 0
-
-    return next_rows(light).mapInArrow(run, f"doc_id {kind}, {RESULT}")
+            for r in range(batch.num_rows):
+                results = _measured([batch.column(1)[r].as_py(), batch.column(2)[r].as_py()])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[r : r + 1], *results], names=["id", *_NAMES])
+
+    done = found.where("last IS NULL").select("id", *_NAMES)
+    every = done.union(lasts.mapInArrow(complete, f"id {kind}, {RESULT}"))
+    return every.withColumnRenamed("id", "doc_id")
