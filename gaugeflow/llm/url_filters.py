@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.llm.components import connected_components
-from gaugeflow.llm.runtime import BROADCAST_ROWS, materialize
+from gaugeflow.llm.runtime import materialize, sided
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -115,9 +115,9 @@ def apply_rules(urls: DataFrame, rules: DataFrame, *, url_col: str = "url") -> D
 
     ``rules`` has action (allow or block), host and path.
     """
-    by_host = (
-        rules.where("host IS NOT NULL AND host <> ''")
-        .select(
+    named = rules.where("host IS NOT NULL AND host <> ''")
+    by_host = materialize(
+        named.select(
             F.col("host").alias("__suffix"),
             F.struct(
                 (F.length("host") + F.length(F.coalesce("path", F.lit("")))).alias("length"),
@@ -127,24 +127,24 @@ def apply_rules(urls: DataFrame, rules: DataFrame, *, url_col: str = "url") -> D
             ).alias("r"),
         )
         .groupBy("__suffix")
-        .agg(F.collect_set("r").alias("rs"))
+        .agg(F.collect_set("r").alias("rs")),
+        "rules",
     )
     parsed = urls.withColumns({"__host": host_of(F.col(url_col)), "__path": path_of(F.col(url_col))})
     labels = F.split(F.col("__host"), r"\.")
+    # no rule has more labels, so longer suffixes can't match
+    deepest = by_host.agg(F.max(F.size(F.split("__suffix", r"\.")))).first()[0] or 1
     suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+        F.sequence(F.greatest(F.lit(1), F.size(labels) - deepest + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
     hosts = parsed.select("__host").where("__host <> ''").distinct().withColumn("__suffix", F.explode(suffixes))
-    small = by_host.limit(BROADCAST_ROWS // 100 + 1).count() <= BROADCAST_ROWS // 100
-    known = (
-        hosts.join(F.broadcast(by_host) if small else by_host, "__suffix")
-        .groupBy("__host")
-        .agg(F.flatten(F.collect_list("rs")).alias("__rules"))
+    known = materialize(
+        hosts.join(sided(by_host), "__suffix").groupBy("__host").agg(F.flatten(F.collect_list("rs")).alias("__rules")), "known-hosts"
     )
     fitting = F.filter("__rules", lambda r: F.startswith(F.col("__path"), r.path))
     best = F.array_max(fitting)
     return (
-        parsed.join(known, "__host", "left")
+        parsed.join(sided(known), "__host", "left")
         .withColumn(
             "__rule",
             F.when(
