@@ -56,6 +56,54 @@ def test_unwanted_payloads_are_not_inflated(monkeypatch):
     assert gzip.decompress(data[: len(data) // 3]).startswith(b"WARC/1.1\r\n")
 
 
+class Counting(io.BytesIO):
+    """Counts the bytes read and the places sought."""
+
+    fetched = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.fetched += len(out)
+        return out
+
+
+def test_bytes_are_fetched_once_and_skips_not_at_all():
+    import random
+
+    noise = random.Random(3).randbytes
+    record = lambda payload: {"record_type": "response", "record_id": "r", "target_uri": "u", "payload_digest": None, "payload_bytes": len(payload), "refers_to": None, "payload": payload}
+    small = b"".join(warc.encode(record(noise(500))) for _ in range(3000))
+    file = Counting(small)
+    assert len(list(warc.records(file, len(small), True, lambda row: True, True, False))) == 3000
+    assert file.fetched <= len(small) + warc._WINDOW
+    large = b"".join(warc.encode(record(noise(8 << 20))) for _ in range(4))
+    file = Counting(large)
+    assert len(list(warc.records(file, len(large), True, lambda row: True, False, False))) == 4
+    assert file.fetched <= 5 * warc._WINDOW < len(large) / 4
+
+
+def test_paths_are_completed_by_the_default_file_system(spark, tmp_path):
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "file:///")
+        assert warc.qualified(spark, "/a/b") == "file:/a/b"
+        assert warc.qualified(spark, "file:/a/b") == "file:/a/b"
+        conf.set("fs.defaultFS", "viewfs:///")
+        with pytest.raises(Exception, match="viewfs"):
+            warc.write_archive(spark.createDataFrame([(1, "u", "x")], PAGES), str(tmp_path / "not-here"))
+        assert not (tmp_path / "not-here").exists()
+    finally:
+        conf.set("fs.defaultFS", before)
+    assert warc.store("file:///a/b")[1] == "/a/b"
+
+
+def test_repeated_rows_and_long_headers(spark, tmp_path):
+    rows = [(1, "http://a/" + "x" * 100_000, "p" * 200), (1, "http://b", "p" * 200), (1, "http://b", "p" * 200), (2, None, "p" * 200)]
+    out = sorted((r.page_id, r.record_type, r.refers_to, len(r.target_uri or "")) for r in warc.round_trip(spark.createDataFrame(rows, PAGES), str(tmp_path / "r")).collect())
+    assert out == [(1, "response", None, 8), (1, "response", None, 8), (1, "response", None, 100_009), (2, "revisit", 1, 0)]
+
+
 def test_plain_and_foreign_archives():
     raw = gzip.decompress(warc.encode({"record_type": "response", "record_id": "r", "target_uri": "u", "payload_digest": hashlib.sha256(b"hey").hexdigest(), "payload_bytes": 3, "refers_to": None, "payload": b"hey"}))
     for data, packed in ((raw * 2, False), (gzip.compress(raw) * 2, True)):
@@ -93,6 +141,14 @@ def test_rules(spark):
     assert judged(spark, []) == {}
 
 
+def test_hosts_of_very_many_labels(spark):
+    rows = [(1, "http://" + "a." * 20_000 + "example.net/en/x", ""), (2, "http://" + "a." * 20_000 + "net/", None), (3, "http://" + "." * 5000, ""), (4, "http://net", ""), (5, "http://x.net/", "")]
+    assert {i: (r[2], r[3]) for i, r in judged(spark, rows).items()} == {1: ("example.net/en/", "allow"), 2: ("net/", "block"), 3: (None, "allow"), 4: (None, "allow"), 5: ("net/", "block")}
+    none = spark.createDataFrame([], "action string, host string, path string")
+    pages = spark.createDataFrame(rows, PAGES)
+    assert {r.verdict for r in url_filters.judge(pages, none).collect()} == {"allow"}
+
+
 def test_aliases_inherit(spark):
     link = '<link rel="canonical" href="{}">'
     rows = [

@@ -89,6 +89,36 @@ def test_slot_map_moves_little():
     assert all(b in (a, 10) for a, b in zip(after.owner, grown.owner)) and 80 <= grown.owner.count(10) <= 100
 
 
+def test_hot_groups_are_dealt_out(spark):
+    rows = [(None, "same text", "en", "s", None)] * 900 + [(i, "", "en", "s", None) for i in range(900)] + [(i, f"text {i} " * 20, "en", "s", None) for i in range(1000, 1900)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"size": F.lit("clash"), "content": F.lit(1), "part": F.lit(2), "record": F.lit(3)})
+    out = sharding.shard(df, 4).collect()
+    total, places = [0] * 4, {}
+    for r in out:
+        total[r.shard] += r.size
+        places.setdefault(r.shard, []).append(r.slot)
+    assert len(out) == 2700 and max(total) <= 1.02 * sum(total) / 4
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    for empty in (True, False):
+        hot = [r.virtual_slot for r in out if (r.size == 16) == empty and r.size < 40]
+        assert len(hot) == 900 and max(hot.count(v) for v in set(hot)) <= 10
+
+
+def test_stored_map_is_edited(spark, tmp_path):
+    path = str(tmp_path / "map")
+    first = docs(spark, [f"{i} " * (i % 50) for i in range(800)])
+    sharding.shard(first, 4, slots=64, map_path=path)
+    before = sharding.SlotMap.load(spark, path)
+    grown = first.union(docs(spark, ["new " * 400] * 2))
+    out = sharding.shard(grown, 4, slots=64, map_path=path).collect()
+    after = sharding.SlotMap.load(spark, path)
+    assert (before.version, after.version) == (1, 2) and {r.map_version for r in out} == {2}
+    assert 0 < sum(a != b for a, b in zip(before.owner, after.owner)) < 20
+    assert sharding.SlotMap.load(spark, path, 1).owner == before.owner
+    with pytest.raises(ValueError, match="shards"):
+        sharding.shard(grown, 5, slots=64, map_path=path)
+
+
 def test_shards_of_nothing(spark):
     assert sharding.shard(docs(spark, []), 3).count() == 0
 
@@ -141,6 +171,24 @@ def test_line_dedup_of_short_lines(spark):
     assert line_dedup.dedupe_lines(docs(spark, []), exact_short=True).count() == 0
 
 
+def test_line_dedup_of_repeated_ids(spark):
+    line, other = "the same long line of text", "quite another long line of it"
+    rows = [(1, line), (2, line), (2, other), (7, line), (7, line), (3, "x" * 30), (3, "x" * 30), (None, other), (None, "y" * 30), (None, "y" * 30), (4, None), (4, None), (5, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCS).withColumn("__kept", F.lit("clash"))
+    out = line_dedup.dedupe_lines(df)
+    assert out.columns == [*DOCS.replace(",", "").split()[::2], "__lines", "__kept"]
+    found = sorted(((r.doc_id, r.text, r["__kept"]) for r in out.collect()), key=repr)
+    expected = [(1, line, 1), (2, "", 0), (2, other, 1), (7, "", 0), (7, "", 0), (3, "x" * 30, 1), (3, "", 0), (None, "", 0), (None, "y" * 30, 1), (None, "", 0), (4, None, 0), (4, None, 0), (5, "", 1)]
+    assert found == sorted(expected, key=repr)
+    assert line_dedup.dedupe_lines(out).columns == out.columns
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    lines = [hashlib.md5(str(i).encode()).hexdigest() for i in range(200_000)]
+    out = line_dedup.dedupe_lines(docs(spark, ["\n".join(lines + lines[:5]), lines[7]]).coalesce(1), exact_short=True)
+    assert {r.doc_id: (r["__lines"], r["__kept"]) for r in out.collect()} == {0: (200_005, 200_000), 1: (1, 0)}
+
+
 # --- 3 ---------------------------------------------------------------------------
 
 
@@ -172,6 +220,25 @@ def test_token_report(spark):
     assert token_counts.report(docs(spark, []), scratch_path(spark, "t")).count() == 0
 
 
+def test_token_report_counts_a_text_once(spark):
+    import base64
+    import tiktoken
+
+    rows = [(1, "one two", "a"), (1, "one two", "b"), (2, "one two", "c"), (None, "one two", "c"), (None, "three", "x"), (None, "three", "y"), (None, "three", None), (5, "w " * 20_000, "c"), (6, None, "d"), (7, "", "d")]
+    df = spark.createDataFrame([(i, t, "en", s, None) for i, t, s in rows], DOCS)
+    out = {(r.source, r.tokenizer): (r.documents, r.tokens) for r in token_counts.report(df, scratch_path(spark, "t")).collect()}
+    lines = (line.split() for line in open(token_counts.VOCABULARY, "rb").read().splitlines() if line)
+    encode = tiktoken.Encoding("v", pat_str=token_counts.PIECES, mergeable_ranks={base64.b64decode(t): int(r) for t, r in lines}, special_tokens={}).encode_ordinary
+    expected = {}
+    for source, text in (("a", "one two"), (None, "three"), ("c", "w " * 20_000), ("d", "")):
+        for name, n in (("words/1", len(WORD.findall(text))), ("byte_bpe_50k/1", len(encode(text)))):
+            d, t = expected.get((source, name), (0, 0))
+            expected[source, name] = d + 1, t + n
+    # of nulls the one without a source comes last
+    expected = {("x" if s is None else s, n): v for (s, n), v in expected.items()}
+    assert out == expected
+
+
 # --- 4 ---------------------------------------------------------------------------
 
 
@@ -212,6 +279,25 @@ def test_decontamination_of_few_words(spark, n):
         assert out == contaminated(texts, items)
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_phrase_of_many_items(spark, block_bytes):
+    phrase = " ".join(f"p{i}" for i in range(30))
+    items = spark.createDataFrame([(i, phrase) for i in range(5000)] + [(5000 + i, "two words") for i in range(1000)], "item_id long, text string")
+    texts = [f"x {phrase} y"] * 50 + ["two words", "clean text of no item", None]
+    out = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontamination.report(docs(spark, texts), items, block_bytes=block_bytes * 100).collect()}
+    assert out == {i: (32, 30, 5000) for i in range(50)} | {50: (2, 2, 1000), 51: (5, 0, 0), 52: (0, 0, 0)}
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 1])
+def test_decontamination_keeps_clashing_columns(spark, block_bytes):
+    items = spark.createDataFrame([(1, "bad words here")], "item_id long, text string")
+    df = docs(spark, ["so bad words here", "good", None, "", "good"]).withColumns({"__hit_from": F.lit(1), "k1": F.lit("k"), "t": F.lit(2)})
+    out = decontamination.decontaminate(df, items, block_bytes=block_bytes)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 2, 3, 4]
+    assert decontamination.find_hits(df, items, block_bytes=block_bytes).where("__hit_from IS NOT NULL").count() == 1
+    assert decontamination.report(docs(spark, []), items, block_bytes=block_bytes).count() == 0
+
+
 def test_decontamination_without_items(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     df = docs(spark, ["a b", None]).withColumn("n_words", F.lit(1))
@@ -381,6 +467,56 @@ def test_fingerprints_brute_force(spark, monkeypatch):
     assert single[1].fingerprint == out[1].fingerprint and fingerprints.report(docs(spark, [])).count() == 0
 
 
+def plain_digest(text):
+    """The digest of a text by counting triplets one by one."""
+    raw, counts = text.encode(), [0] * fingerprints.BUCKETS
+    for x, y, z in zip(raw, raw[1:], raw[2:]):
+        counts[fingerprints._TABLES[0][x] ^ fingerprints._TABLES[1][y] ^ fingerprints._TABLES[2][z]] += 1
+    ordered = sorted(counts)
+    quartile = [ordered[fingerprints.BUCKETS * k // 4 - 1] for k in (1, 2, 3)]
+    code = [sum(c > q for q in quartile) for c in counts]
+    length = 0
+    while 1.1**length < len(raw) + 1 - 1e-9:
+        length += 1
+    return code, min(255, length)
+
+
+def test_digests_by_counting(spark):
+    random.seed(21)
+    texts = [t or "" for t in ODD] + ["".join(random.choice("abc déf\n") for _ in range(random.randint(0, 3000))) for _ in range(20)]
+    out = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        code, length = plain_digest(t)
+        bits = "".join(f"{c:02b}" for c in code)
+        assert out[i] == f"{length:02x}" + "".join(f"{int(bits[k : k + 8], 2):02x}" for k in range(0, len(bits), 8))
+    a, b = (plain_digest(texts[-k]) for k in (1, 2))
+    steps = sum(abs(x - y) for x, y in zip(a[0], b[0])) + 4 * abs(a[1] - b[1])
+    like = fingerprints.likeness(*(fingerprints.from_text(out[len(texts) - k]) for k in (1, 2)))[0]
+    assert like == 1 - min(steps, 1280) / 1280
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "long"])
+def test_fingerprints_of_any_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(fingerprints, "RANGE_CHARS", 200)
+    rows = [(i, f"text of row {i} " * 3) for i in range(40)] + [(None, "no id")] * 30 + [(7, ""), (7, "x y z"), (7, "x y z")]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, row int").withColumn("doc_id", F.col("doc_id").cast(kind))
+    out = fingerprints.report(df)
+    assert out.schema["doc_id"].dataType.simpleString() == df.schema["doc_id"].dataType.simpleString()
+    found = [tuple(r) for r in out.collect()]
+    assert len(found) == len(rows) and sum(r[0] is None for r in found) == 30
+    # the copies without an id come first and follow one another
+    assert sum(r[0] is None and r[6] == 1 for r in found) >= 29
+    key = (lambda i: str(i)) if kind == "string" else (lambda i: i)
+    order = sorted((key(i), t) for i, t in rows if i is not None and i != 7)
+    edits = {str(r[0]): r[2] for r in found if r[0] is not None}
+    seven = key(7)
+    for (i, t), (j, n) in zip(order, order[1:]):
+        if not i < seven < j:
+            assert edits[str(i)] == hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest()
+    single = fingerprints.report(df.where("doc_id = 3")).collect()
+    assert len(single) == 1 and single[0].near_next == 1
+
+
 # --- 10 --------------------------------------------------------------------------
 
 
@@ -422,3 +558,12 @@ def test_mixing(spark):
     emitted = [r.doc_id for r in rows.collect()]
     assert all(emitted.count(i) == r.taken // r.size for i, r in out.items() if r.size)
     assert mixing.mix_report(docs(spark, [])).count() == 0
+
+
+def test_mixing_of_repeated_ids(spark):
+    rows = [(1 if i % 3 else None, f"w{i} " * (i % 4), "en", None if i % 5 == 0 else "s", None) for i in range(300)]
+    df = spark.createDataFrame(rows, DOCS)
+    texts = lambda d: sorted(r.text for r in mixing.mix(d).collect())
+    assert texts(df) == texts(df.repartition(7).orderBy(F.rand(3)))
+    out = mixing.mix_report(df)
+    assert out.count() == 300 and out.agg(F.sum("taken")).first()[0] == len(" ".join(texts(df)).split())
