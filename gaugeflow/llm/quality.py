@@ -2,20 +2,27 @@
 
 A linear score of text statistics is fitted so that the non-negative unbiased
 risk is least: ``prior * loss(P, +) + max(0, loss(U, -) - prior * loss(P, -))``
-with trusted positives P, unlabelled web text U, the logistic loss and a class
-prior that is the share of label 1 among the training labels.  Negative labels
-enter through that share alone.  The score is the logistic of the linear value
-and so estimates the probability of label 1.
+with trusted positives P, unlabelled web text U and the logistic loss.  Negative
+labels are never used.  The score is the logistic of the linear value and so
+estimates the probability of label 1.
+
+The class prior is estimated from P and U: a score is fitted on one half of each
+to tell them apart, and among the other halves the share of U above a bound by the
+share of P above it comes down to the prior where the bound leaves positives
+alone; the bound is that of least upper confidence limit.
 
 Only byte and word statistics of the whole text are inputs, scaled by their mean
-and deviation over all texts of the training folds.  The steps of the fit see at
-most ``positives`` and ``unlabelled`` rows, chosen by a hash of their id; every
-text is scored.
+and deviation over all texts of the training folds.  P is a sample of at most
+``positives`` labelled rows of least hash.  U is all texts of the training folds,
+dealt into blocks of about ``unlabelled`` rows: a task estimates the prior and fits
+a model on a block, and the mean of the models by rows is the model.  Every text is
+scored.
 
 Defined results: null and empty texts have the statistics of no words and get a
 score like any other; documents whose id is null are scored, belong to remainder
-0 and are never fitted on; labels without a document are ignored; without
-training labels every score is 0.5; repeated rows get equal scores.
+0 and are never fitted on; labels without a document and null labels are ignored;
+without training labels every score is 0.5, without one of 1 among them every score
+is 0; repeated rows get equal scores; a column named as the score's gives way to it.
 """
 
 from __future__ import annotations
@@ -30,8 +37,8 @@ from pyspark.sql import functions as F
 
 from gaugeflow.llm.words import NOT_SPACE, Words, column_bytes, grams
 
-POSITIVES = 8_000
-UNLABELLED = 16_000
+#: Labelled rows of a sample, and unlabelled rows of a block.
+POSITIVES, UNLABELLED = 8_000, 16_000
 FOLDS = 5
 THRESHOLD = 0.3
 
@@ -147,26 +154,56 @@ def fit(
     return Model(mean, scale, weight, float(bias), float(prior), float(risk))
 
 
+def _above(scores: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The share of ``scores`` at or above each of ``bounds``."""
+    return 1 - np.searchsorted(np.sort(scores), bounds, "left") / len(scores)
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, mean: np.ndarray, deviation: np.ndarray) -> float:
+    """The share of positives among ``unlabelled``, from 0.01 to 0.99; of few rows all are in both halves."""
+    half = lambda x: (x[::2], x[1::2]) if len(x) >= 40 else (x, x)
+    (p, own), (u, other) = half(positive), half(unlabelled)
+    model = fit(p, u, 0.5, mean, deviation)
+    bounds = np.unique(model.score(own))
+    in_p, in_u = _above(model.score(own), bounds), _above(model.score(other), bounds)
+    # the confidence limits of both shares at a level of 0.1
+    slack = np.sqrt(np.log(40) / 2 / len(own)) + np.sqrt(np.log(40) / 2 / len(other))
+    best = np.argmin((in_u + slack) / in_p)
+    return float(np.clip(in_u[best] / in_p[best], 0.01, 0.99))
+
+
 def fold(id_: Column) -> Column:
     """crc32 of the id as text, modulo ``FOLDS``; 0 is held out."""
     return F.coalesce(F.crc32(id_.cast("string")) % FOLDS, F.lit(0))
 
 
+def _rows_of(batch: list[bytes]) -> np.ndarray:
+    """Features from their bytes, in an order that doesn't depend on that of the rows."""
+    return np.frombuffer(b"".join(sorted(batch)), np.float32).reshape(len(batch), N_SHAPE + 256)
+
+
+def _as_bytes(texts: pa.Array) -> pa.Array:
+    return pa.array([r.tobytes() for r in features(*column_bytes(texts))], pa.binary())
+
+
 def _sampled_features(docs: DataFrame, chosen: DataFrame) -> np.ndarray:
-    """Features of the documents whose ids are in ``chosen``, a bounded list."""
+    """Features of the documents whose ids are in ``chosen``, a bounded list; one row an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(*column_bytes(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], names=["x"])
+            yield pa.RecordBatch.from_arrays([_as_bytes(batch.column(0))], names=["x"])
+
+    texts = docs.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.min(F.coalesce("__text", F.lit(""))).alias("__text"))
+    return _rows_of(texts.select("__text").mapInArrow(run, "x binary").toArrow().column("x").to_pylist())
+
 
-    texts = docs.join(F.broadcast(chosen), "__id").select("__text")
-    rows = texts.mapInArrow(run, "x binary").toArrow().column("x").to_pylist()
-    return np.frombuffer(b"".join(sorted(rows)), np.float32).reshape(len(rows), N_SHAPE + 256)
+def _exact(c: str) -> Column:
+    """A sum that doesn't depend on the order of the tasks."""
+    return F.sum(F.col(c).cast("decimal(28,12)")).cast("double")
 
 
-def _moments(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and population deviation of the features of all ``texts``, one column, in one aggregate."""
+def _moments(texts: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, mean and population deviation of the features of all ``texts``, one column, in one aggregate."""
     width = N_SHAPE + 256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,15 +216,38 @@ def _moments(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             columns = [np.arange(width), np.full(width, n), total[0], total[1]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["place", "n", "one", "two"])
 
-    # sums of decimals don't depend on the order of the tasks
-    exact = lambda c: F.sum(F.col(c).cast("decimal(28,12)")).cast("double")
     sums = texts.mapInArrow(run, "place long, n long, one double, two double").groupBy("place")
-    rows = sums.agg(F.sum("n").cast("double"), exact("one"), exact("two")).orderBy("place").collect()
+    rows = sums.agg(F.sum("n").cast("double"), _exact("one"), _exact("two")).orderBy("place").collect()
     if not rows:
-        return np.zeros(width, np.float32), np.zeros(width, np.float32)
+        return 0, np.zeros(width, np.float32), np.zeros(width, np.float32)
     _, n, one, two = np.array(rows, np.float64).T
     mean = one / n
-    return mean.astype(np.float32), np.sqrt(np.maximum(two / n - mean**2, 0)).astype(np.float32)
+    return int(n[0]), mean.astype(np.float32), np.sqrt(np.maximum(two / n - mean**2, 0)).astype(np.float32)
+
+
+def _fitted(texts: DataFrame, positive: np.ndarray, blocks: int, mean: np.ndarray, deviation: np.ndarray) -> Model:
+    """The mean of the models fitted on the blocks of ``texts`` (__id, __text)."""
+    sent = texts.sparkSession.sparkContext.broadcast((positive, mean, deviation))  # ``positives`` rows at most
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _as_bytes(batch.column(1))], names=["block", "x"])
+
+    def fit_block(block: pa.Table) -> pa.Table:
+        p, *scaling = sent.value
+        u = _rows_of(block.column("x").to_pylist())
+        model = fit(p, u, estimated_prior(p, u, *scaling), *scaling)
+        values = np.array([*model.weight, model.bias, model.prior, model.risk], np.float64) * len(u)
+        return pa.table({"place": np.arange(len(values)), "n": np.full(len(values), len(u)), "value": values})
+
+    # the number of a row spreads those of one id
+    block = F.pmod(F.xxhash64("__id", F.monotonically_increasing_id()), F.lit(blocks)).alias("block")
+    rows = texts.select(block, "__text").mapInArrow(measure, "block long, x binary").repartition(blocks, "block")
+    found = rows.groupBy("block").applyInArrow(fit_block, "place long, n long, value double")
+    sums = found.groupBy("place").agg(F.sum("n").cast("double"), _exact("value")).orderBy("place").collect()
+    _, n, value = np.array(sums, np.float64).T
+    *weight, bias, prior, risk = (value / n).tolist()
+    return Model(mean, 1 / np.maximum(deviation, 1e-4), np.array(weight, np.float32), bias, prior, risk)
 
 
 def train(
@@ -199,31 +259,25 @@ def train(
     label_col: str = "quality",
     positives: int = POSITIVES,
     unlabelled: int = UNLABELLED,
-) -> Model | None:
-    """A model fitted on the training folds; None without training labels or positives.
-
-    The samples are the rows of least hash; ids outside the training folds are
-    in neither.  Mean and deviation are those of all rows of the training folds.
-    """
+) -> Model | float:
+    """A model fitted on the training folds; without one to fit, the score of all texts."""
     named = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     ids = lambda df: df.where((fold(F.col("__id")) != 0) & F.col("__id").isNotNull())
     known = ids(labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")))
     known = known.where(F.col("__label").isNotNull())
-    prior = known.agg(F.avg(F.col("__label").cast("double"))).first()[0]
-    if not prior:
-        return None
-    least = lambda df, n: df.dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(n)
-    p = _sampled_features(named, least(known.where("__label = 1").select("__id"), positives))
-    u = _sampled_features(named, least(ids(named.select("__id")), unlabelled))
-    if not len(p) or not len(u):
-        return None
-    return fit(p, u, min(float(prior), 0.99), *_moments(ids(named).select("__text")))
-
-
-def scored(docs: DataFrame, model: Model | None, *, text_col: str = "text", score_col: str = "__score") -> DataFrame:
+    least = known.where("__label = 1").select("__id").distinct().join(ids(named.select("__id")), "__id", "left_semi")
+    p = _sampled_features(named, least.orderBy(F.xxhash64("__id"), "__id").limit(positives))
+    if not len(p):
+        return 0.5 if known.join(named, "__id", "left_semi").isEmpty() else 0.0
+    n, mean, deviation = _moments(ids(named).select("__text"))
+    return _fitted(ids(named), p, max(1, round(n / unlabelled)), mean, deviation)
+
+
+def scored(docs: DataFrame, model: Model | float, *, text_col: str = "text", score_col: str = "__score") -> DataFrame:
     """``docs`` with a score of each whole text in ``score_col``."""
-    if model is None:
-        return docs.withColumn(score_col, F.lit(0.5))
+    docs = docs.drop(score_col)
+    if isinstance(model, float):
+        return docs.withColumn(score_col, F.lit(model))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -250,8 +304,8 @@ def report(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     )
 
 
-def keep_good(docs: DataFrame, model: Model | None, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, model: Model | float, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more."""
-    return scored(docs, model, text_col=text_col).where(F.col("__score") >= threshold).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    found = scored(plain, model, text_col=f"c{docs.columns.index(text_col)}")
+    return found.where(F.col("__score") >= threshold).select(*plain.columns).toDF(*docs.columns)

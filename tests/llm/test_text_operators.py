@@ -439,6 +439,74 @@ def test_quality_scales_by_all_texts(spark):
     assert np.allclose(model.mean, x.mean(0), atol=1e-5) and np.allclose(model.scale, 1 / np.maximum(x.std(0), 1e-4), rtol=1e-3)
 
 
+def plain_features(text):
+    """The statistics of one text, counted in plain Python."""
+    import math
+
+    raw = text.encode()
+    words = [w.encode() for w in WORD.findall(lower(text))]
+    n, size = max(1, len(words)), max(1, len(raw))
+    upper, low = sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw)
+    spaces = sum(b == 32 or 9 <= b <= 13 for b in raw)
+    count = {w: words.count(w) for w in set(words)}
+    threes = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    shape = [
+        math.log1p(len(words)), math.log1p((size - spaces) / n), len(count) / n, max(count.values(), default=0) / n, sum(a == b for a, b in zip(words, words[1:])) / n,
+        1 - len(set(threes)) / len(threes) if threes else 0, upper / max(1, upper + low), math.log1p(sum(33 <= b < 127 and not chr(b).isalnum() for b in raw) / n),
+        sum(48 <= b <= 57 for b in raw) / size, raw.count(10) / n, sum(b >= 128 for b in raw) / size, (upper + low) / size,
+    ]
+    return shape + [math.sqrt(raw.count(b) / size) for b in range(256)]
+
+
+def test_quality_features_by_counting():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [t or "" for t in ODD] + ["A b a b a B. 12\n\nx!", "same same same", "é" * 700_000 + " end"]
+    found = quality.features(*quality.column_bytes(pa.array(texts)))
+    assert np.allclose(found, [plain_features(t) for t in texts], atol=1e-5)
+
+
+def test_quality_risk_is_least(spark):
+    """The fitted risk against the definition, and against shifted weights."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    random.seed(23)
+    texts = [" ".join(random.choice(["river", "sea", "X!!"] if i % 4 == 0 else ["river", "sea", "land"]) for _ in range(random.randint(1, 30))) for i in range(300)]
+    x = quality.features(*quality.column_bytes(pa.array(texts))).astype(float)
+    p, u = x[[i for i in range(300) if i % 4]][:100], np.random.default_rng(4).permutation(x)
+    model = quality.fit(p.astype(np.float32), u.astype(np.float32), 0.75, x.mean(0), x.std(0), decay=0.0)
+    z = lambda rows: np.clip((rows - model.mean) * model.scale, -6, 6)
+
+    def risk(weight, bias):
+        loss = lambda rows, sign: sum(math.log1p(math.exp(-sign * (sum(a * w for a, w in zip(r, weight)) + bias))) for r in z(rows)) / len(rows)
+        return 0.75 * loss(p, 1) + max(0.0, loss(u, -1) - 0.75 * loss(p, -1))
+
+    best = risk(model.weight, model.bias)
+    assert abs(best - model.risk) < 0.02
+    rng = np.random.default_rng(2)
+    assert all(best < risk(model.weight + rng.normal(0, 1, len(model.weight)), model.bias) for _ in range(5)) and best < risk(model.weight * 0, 0.0)
+    assert abs(quality.estimated_prior(p.astype(np.float32), u.astype(np.float32), x.mean(0), x.std(0)) - 0.75) < 0.15
+
+
+def test_quality_of_one_sided_labels(spark):
+    df = docs(spark, ["good text here", None, "", "bad"] * 20)
+    zeros = spark.createDataFrame([(i, 0) for i in range(80)], "doc_id long, quality int")
+    out = quality.report(df, zeros).collect()
+    assert {(r.score, r.predicted) for r in out} == {(0.0, 0)} and quality.keep_good(df, quality.train(df, zeros)).count() == 0
+    foreign = spark.createDataFrame([(i, 1) for i in range(1000, 1100)], "doc_id long, quality int")
+    assert {r.score for r in quality.report(df, foreign).collect()} == {0.5}
+    ones = spark.createDataFrame([(i, 1) for i in range(80)], "doc_id long, quality int")
+    assert all(0 <= r.score <= 1 for r in quality.report(df, ones).collect())
+    repeated = df.union(df.where("doc_id = 0")).union(df.where("doc_id = 3").withColumn("text", F.lit("another"))).withColumn("__score", F.lit("clash"))
+    kept = quality.keep_good(repeated, quality.train(repeated, ones, positives=10, unlabelled=20))
+    assert kept.columns == repeated.columns and {r["__score"] for r in kept.collect()} <= {"clash"}
+    assert quality.keep_good(repeated, 0.5).count() == 82
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.report(docs(spark, ["a", None]), none).collect()} == {0.5}
