@@ -16,7 +16,7 @@ BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 #: texts cannot inflate a Python worker; shuffle files go when their query ends.
 SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20),
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.python.filterPushdown.enabled": "true",
     "spark.sql.adaptive.enabled": "true",

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at once; bounds the temporary arrays.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_VALUE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
