@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.llm.runtime import discard, materialize, sided
 
-#: Lines below it are kept.
+#: Lines below it have no near copies, only equal ones.
 MIN_CHARS = 20
 #: Segments of a line.
 SEGMENTS = 4
@@ -249,9 +249,13 @@ def dedupe_lines(
 
 
 def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_lines, n_kept and the digest of the deduplicated text."""
+    """One row per document: doc_id, n_lines, n_kept and the digest of the deduplicated text.
+
+    Lines that aren't blank are deduplicated whatever their length, those below
+    ``MIN_CHARS`` characters by equality.
+    """
     light = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return dedupe_lines(light).select(
+    return dedupe_lines(light, exact_short=True).select(
         "doc_id",
         F.col("__lines").alias("n_lines"),
         F.col("__kept").alias("n_kept"),

@@ -104,9 +104,14 @@ near AS (
   ON b.n = a.m AND b.rk < a.rk
   AND CASE WHEN left(a.line, 8) = left(b.line, 8) OR right(a.line, 8) = right(b.line, 8)
            THEN levenshtein(a.line, b.line) <= 1 ELSE false END),
+short AS (
+  SELECT doc_id, place FROM (
+    SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, place) AS o FROM lines
+    WHERE length(line) < 20 AND regexp_matches(line, '[^ \t\n\x0B\f\r]')) WHERE o = 1),
 kept AS (
   SELECT doc_id, place FROM firsts WHERE line NOT IN (SELECT line FROM near)
-  UNION ALL SELECT doc_id, place FROM lines WHERE length(line) < 20),
+  UNION ALL SELECT doc_id, place FROM short
+  UNION ALL SELECT doc_id, place FROM lines WHERE length(line) < 20 AND NOT regexp_matches(line, '[^ \t\n\x0B\f\r]')),
 texts AS (
   SELECT doc_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY place) AS t
   FROM kept JOIN lines USING (doc_id, place) GROUP BY doc_id)
