@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow import schema
 from gaugeflow.functions import dates, geo, spectral
+from gaugeflow.operators import order
 
 TARGETS = list(schema.TARGET_BOUNDS)
 #: Incomplete rows of a block of the imputation, and pairs of rows compared at once.
@@ -24,8 +25,9 @@ def sentinels_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def winsorize(df: DataFrame, columns: list[str], low: float = 0.02, high: float = 0.98, least: int = 100) -> DataFrame:
-    """Clip columns of more than ``least`` values to their percentiles; one aggregate for all."""
-    ends = df.agg(*[F.when(F.count(c) > least, F.percentile(c, F.array(F.lit(low), F.lit(high)))).alias(f"_e_{c}") for c in columns])
+    """Clip columns of more than ``least`` values to their percentiles."""
+    found = order.column_percentiles(df, columns, [low, high])
+    ends = found.select(*[F.when(F.col(f"{c}.n") > least, F.col(f"{c}.q")).alias(f"_e_{c}") for c in columns])
     joined = df.join(F.broadcast(ends))  # one row
     clip = lambda c: F.when(F.col(c).isNull() | F.col(f"_e_{c}").isNull(), F.col(c)).otherwise(
         F.least(F.greatest(F.col(c), F.col(f"_e_{c}")[0]), F.col(f"_e_{c}")[1])
@@ -38,10 +40,10 @@ def complete_rows(df: DataFrame, columns: list[str], least: int = 8) -> DataFram
     return df.where(sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0)) >= least)
 
 
-def mean_by_observation(df: DataFrame, keys: list[str], means: list[str], firsts: list[str], order: str = "_seq") -> DataFrame:
+def mean_by_observation(df: DataFrame, keys: list[str], means: list[str], firsts: list[str], by: str = "_seq") -> DataFrame:
     """Means of targets and the first value of other columns by key; rows with a null key go."""
     whole = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order)))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(by)))
     return whole.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in means], *[first(c).alias(c) for c in firsts])
 
 
@@ -198,27 +200,27 @@ def temporal_split(df: DataFrame, date: str, until: str) -> DataFrame:
     return df.withColumn("split", F.when(F.col(date) <= F.lit(until).cast("date"), "train").otherwise("test"))
 
 
-def ordered_split(df: DataFrame, order: list[str], share: float = 0.8) -> DataFrame:
-    """The first rows in ``order`` are for training, the others for testing."""
-    w, everything = Window.partitionBy().orderBy(*order), Window.partitionBy()
-    cut = F.floor(F.count(F.lit(1)).over(everything) * share)
-    return df.withColumn("split", F.when(F.row_number().over(w) <= cut, "train").otherwise("test"))
+def ordered_split(df: DataFrame, by: list[str], share: float = 0.8) -> DataFrame:
+    """The first rows in the order ``by`` are for training, the others for testing."""
+    placed = order.numbered(df, by, "_place")
+    cut = placed.agg(F.floor(F.count(F.lit(1)) * F.lit(share)).alias("_cut"))
+    return placed.join(F.broadcast(cut)).withColumn("split", F.when(F.col("_place") < F.col("_cut"), "train").otherwise("test")).drop("_place", "_cut")  # one row
 
 
 def label_codes(df: DataFrame, column: str, code: str) -> DataFrame:
     """The place of each distinct value in their order, from 0."""
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    coded = values.withColumn(code, F.row_number().over(Window.partitionBy().orderBy(column)) - 1)
+    coded = order.numbered(values, [column], code).withColumn(code, F.col(code).cast("int"))
     return df.join(coded, column, "left")
 
 
 def quantile_bins(df: DataFrame, column: str, labels: tuple[str, ...] = ("VL", "L", "M", "H", "VH")) -> DataFrame:
     """Bins of equal shares by percentile edges; a value on an edge is in the lower bin."""
-    edges = df.agg(F.percentile(column, F.array(*[F.lit(i / len(labels)) for i in range(1, len(labels))])).alias("_e"))
+    edges = order.percentiles(df, [], column, [i / len(labels) for i in range(1, len(labels))]).select(F.col("_q").alias("_e"))
     bin_ = F.lit(labels[-1])
     for i in reversed(range(len(labels) - 1)):
         bin_ = F.when(F.col(column) <= F.col("_e")[i], labels[i]).otherwise(bin_)
-    return df.join(F.broadcast(edges)).withColumn(f"{column}_bin", F.when(F.col(column).isNotNull(), bin_)).drop("_e")  # one row
+    return df.join(F.broadcast(edges), how="left").withColumn(f"{column}_bin", F.when(F.col(column).isNotNull(), bin_)).drop("_e")  # one row
 
 
 def conditional_shares(df: DataFrame, child: str, parents: list[str]) -> DataFrame:
@@ -242,9 +244,10 @@ def regression_metrics(df: DataFrame, keys: list[str], truth: str, predicted: st
 
 
 def best_by(df: DataFrame, keys: list[str], model: str, score: str) -> DataFrame:
-    """The model of greatest score by key, the first by name of equals."""
-    best = F.max_by(model, F.struct(F.col(score).alias("s"), (-F.hash(model)).alias("h")))
-    return df.groupBy(*keys).agg(best.alias(model), F.max(score).alias(score))
+    """The model of greatest score by key, the first by name of equals; rows without a score don't count."""
+    scored = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    best = F.min(F.struct((-F.col(score)).alias("s"), F.col(model).alias("m"))).alias("_b")
+    return scored.groupBy(*keys).agg(best).select(*keys, F.col("_b.m").alias(model), (-F.col("_b.s")).alias(score))
 
 
 def anomaly_ratio(df: DataFrame, station: str, season: str, value: str) -> Column:
@@ -273,7 +276,8 @@ def channel_stats(df: DataFrame, array: str) -> DataFrame:
 def trimming_simulation(df: DataFrame, targets: list[str], levels: dict[str, tuple[float, float]], keys: list[str], least: int = 8) -> DataFrame:
     """Percentage of rows that keep ``least`` targets when each is trimmed to the percentiles of a level."""
     shares = sorted({s for pair in levels.values() for s in pair})
-    q = df.agg(*[F.percentile(t, F.array(*[F.lit(s) for s in shares])).alias(f"_q_{t}") for t in targets])
+    found = order.column_percentiles(df, targets, shares)
+    q = found.select(*[F.col(f"{t}.q").alias(f"_q_{t}") for t in targets])
     joined = df.join(F.broadcast(q))  # one row
     inside = lambda t, lo, hi: F.col(t).between(F.col(f"_q_{t}")[shares.index(lo)], F.col(f"_q_{t}")[shares.index(hi)])
     kept = lambda lo, hi: sum((F.coalesce(inside(t, lo, hi).cast("int"), F.lit(0)) for t in targets), F.lit(0)) >= least

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeflow.operators import order
+
 
 def counts_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -49,12 +51,17 @@ def summary_with_total(df: DataFrame, source: str, measures: dict[str, Column],
     return rolled.withColumn(source, F.when(F.col("_g") == 1, total).otherwise(F.col(source))).drop("_g")
 
 
+def with_percentiles(groups: DataFrame, df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """``groups``, a row per key, with ``_q``, an array of exact percentiles of ``value`` in ``df``; null keys are equal."""
+    q = order.percentiles(df, keys, value, shares).select(*[F.col(k).alias(f"_p_{k}") for k in keys], "_q")
+    same = [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in keys]
+    return groups.join(q, same, "left").drop(*[f"_p_{k}" for k in keys])
+
+
 def describe_by(df: DataFrame, keys: list[str], value: str, digits: int = 4) -> DataFrame:
     """Count, mean, sample deviation, least, quartiles and greatest by key."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    one = df.groupBy(*keys).agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max"),
-    )
+    one = df.groupBy(*keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    one = with_percentiles(one, df, keys, value, [0.25, 0.5, 0.75])
     r = lambda c: F.round(c, digits)
     return one.select(
         *keys, "count", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"), r(F.col("min")).alias("min"),
@@ -64,11 +71,10 @@ def describe_by(df: DataFrame, keys: list[str], value: str, digits: int = 4) ->
 
 def range_profile(df: DataFrame, bounds: DataFrame, parameter: str = "parameter", value: str = "value") -> DataFrame:
     """Spread of each parameter and the percentage in its plausible range (lo, hi)."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     inside = F.avg(F.col(value).between(F.col("lo"), F.col("hi")).cast("int")) * 100
-    one = df.join(F.broadcast(bounds), parameter).groupBy(parameter).agg(  # a fixed table of rules
-        F.count(value).alias("n"), F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max"), F.round(inside, 4).alias("in_range_pct")
-    )
+    known = df.join(F.broadcast(bounds), parameter)  # a fixed table of rules
+    one = known.groupBy(parameter).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(inside, 4).alias("in_range_pct"))
+    one = with_percentiles(one, known, [parameter], value, [0.25, 0.5, 0.75])
     return one.select(parameter, "n", "min", *[F.round(F.col("_q")[i], 6).alias(n) for i, n in enumerate(("p25", "median", "p75"))], "max", "in_range_pct")
 
 
@@ -76,7 +82,7 @@ def outlier_profile(df: DataFrame, parameter: str = "parameter", value: str = "v
     """Percentiles, values beyond p2 and p98 and beyond 1.5 times the quartile range."""
     shares = [0.02, 0.25, 0.5, 0.75, 0.98]
     names = ["p2", "p25", "median", "p75", "p98"]
-    q = df.groupBy(parameter).agg(F.percentile(value, F.array(*[F.lit(s) for s in shares])).alias("_q"))
+    q = order.percentiles(df, [parameter], value, shares)
     q = q.select(parameter, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     v, iqr = F.col(value), F.col("p75") - F.col("p25")
     out = (v < F.col("p25") - 1.5 * iqr) | (v > F.col("p75") + 1.5 * iqr)
@@ -158,14 +164,14 @@ def correlations(df: DataFrame, left: list[str], right: list[str], least: int =
 def rank_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     """Spearman's r: Pearson's r of the average ranks of the rows that have both.
 
-    Ranks come from the counts of distinct values, so no task sorts all rows.
+    Ranks come from running sums of the counts of distinct values, so no task sorts all rows.
     """
     pair = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
 
     def ranks(c: str) -> DataFrame:
         counts = pair.groupBy(F.col(c).alias(f"_v{c}")).agg(F.count(F.lit(1)).alias("_c"))
-        before = F.sum("_c").over(Window.partitionBy().orderBy(f"_v{c}").rowsBetween(Window.unboundedPreceding, -1))
-        return counts.select(f"_v{c}", (F.coalesce(before, F.lit(0)) + (F.col("_c") + 1) / 2).alias(f"_r{c}"))
+        placed = order.running(counts, [f"_v{c}"], F.col("_c"), "_before")
+        return placed.select(f"_v{c}", (F.col("_before") + (F.col("_c") + 1) / 2).alias(f"_r{c}"))
 
     ranked = pair.join(ranks(a), F.col(a) == F.col(f"_v{a}")).join(ranks(b), F.col(b) == F.col(f"_v{b}"))
     return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr(f"_r{a}", f"_r{b}").alias("rho"))
@@ -188,7 +194,7 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 def box_numbers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Least, quartiles and greatest of the values from p1 to p99 by key."""
-    ends = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.01), F.lit(0.99))).alias("_e"))
+    ends = order.percentiles(df, keys, value, [0.01, 0.99]).select(*keys, F.col("_q").alias("_e"))
     inside = df.join(ends, keys).where(F.col(value).between(F.col("_e")[0], F.col("_e")[1]))
     return describe_by(inside, keys, value, 6).select(*keys, "min", "p25", "median", "p75", "max")
 

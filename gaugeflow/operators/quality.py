@@ -7,11 +7,12 @@ ingestion, breaks ties.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow import schema
 from gaugeflow.functions import geo, text
+from gaugeflow.operators import order
 from gaugeflow.operators.lookup import canonical_bounds, first_of_key, record_bounds, trust_of
 
 # Words that place a station in the basin.
@@ -77,15 +78,11 @@ def quartiles(df: DataFrame, group: str = "parameter", value: str = "value", lea
     """(group, lower, upper): fences three times the range of the positional quartiles.
 
     The quartiles are the values at positions n // 4 and 3n // 4 of the sorted
-    group, found from the counts of distinct values, so a large group isn't sorted
-    row by row.  Groups of fewer than ``least`` rows or without range have none.
+    group.  Groups of fewer than ``least`` rows or without range have none.
     """
-    counts = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
-    total = Window.partitionBy(group)
-    up_to = total.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumns({"_n": F.sum("_c").over(total), "_to": F.sum("_c").over(up_to)})
-    at = lambda k: F.min(F.when(F.col("_to") > F.floor(F.col("_n") * k / 4), F.col(value)))
-    q = placed.groupBy(group).agg(F.max("_n").alias("_n"), at(1).alias("q1"), at(3).alias("q3"))
+    at = lambda k: (k / 4, [lambda n: F.floor(n * k / 4)])
+    found = order.order_statistics(df, [group], value, [at(1), at(3)])
+    q = found.select(group, "_n", F.col("_s")[0][0].alias("q1"), F.col("_s")[1][0].alias("q3"))
     q = q.where((F.col("_n") >= least) & (F.col("q3") != F.col("q1")))
     iqr = F.col("q3") - F.col("q1")
     return q.select(group, (F.col("q1") - 3 * iqr).alias("lower"), (F.col("q3") + 3 * iqr).alias("upper"))
@@ -154,10 +151,10 @@ def fuse(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """
     if keys is None:
         df, keys = df.withColumn("_name", text.comparable_name(F.coalesce("station_name", F.lit("")))), ["_name", "date", "parameter"]
-    order = F.struct(F.col("trust_score").alias("t"), (-F.col("_seq")).alias("s"))
+    by = F.struct(F.col("trust_score").alias("t"), (-F.col("_seq")).alias("s"))
     row = F.struct(*[c for c in df.columns if c not in keys])
     best = df.groupBy(*keys).agg(
-        F.max_by(row, order).alias("_b"),
+        F.max_by(row, by).alias("_b"),
         F.count(F.lit(1)).alias("_n"),
         F.min("value").alias("_lo"),
         F.max("value").alias("_hi"),
@@ -317,7 +314,7 @@ def resolve_conflicts(df: DataFrame, keys: list[str] | None = None, trust: dict[
     kept = df.where(F.col("quality_flag") != schema.REJECTED)
     stats = kept.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.count_distinct(F.coalesce("source", F.lit(""))).alias("_s"),
+        (F.min(F.coalesce("source", F.lit(""))) != F.max(F.coalesce("source", F.lit("")))).alias("_several"),
         F.avg("value").alias("_mean"),
         F.min("value").alias("_lo"),
         F.max("value").alias("_hi"),
@@ -328,7 +325,7 @@ def resolve_conflicts(df: DataFrame, keys: list[str] | None = None, trust: dict[
     spread = F.greatest(F.col("_hi") - F.col("_mean"), F.col("_mean") - F.col("_lo")) / F.abs("_mean")
     outcome = (
         F.when(F.col("_n") == 1, "single")
-        .when(F.col("_s") == 1, "averaged")
+        .when(~F.col("_several"), "averaged")
         .when(F.col("_mean") == 0, "kept")
         .when(spread <= CONFLICT, "agreed")
         .otherwise("conflict")

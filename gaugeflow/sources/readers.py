@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow import schema
 from gaugeflow.functions import dates, parse, text
+from gaugeflow.operators.profile import with_percentiles
 from gaugeflow.operators.reshape import melt, union_all
 
 
@@ -217,8 +218,9 @@ def band_statistics(pixels: DataFrame, nodata: float | None = None, keys: tuple[
     """Count, mean, deviation, ends and percentiles of pixels (.., value) that aren't nodata."""
     v = F.col("value")
     fine = ~F.isnan(v) if nodata is None else ~F.isnan(v) & (v != nodata)
-    q = F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    one = pixels.where(v.isNotNull() & fine).groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), q.alias("_q"))
+    good = pixels.where(v.isNotNull() & fine)
+    one = good.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    one = with_percentiles(one, good, list(keys), "value", [0.05, 0.5, 0.95])
     return one.select(*keys, "count", "mean", "std", "min", "max", *[F.col("_q")[i].alias(n) for i, n in enumerate(("p5", "p50", "p95"))])
 
 
