@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 MISSING = ["", "-", "na", "n/a", "nan", "null", "nil", "bdl", "below detection", "nd", "not detected"]
 MISSING_CELL = r"(?i)^(bdl|nd|nr|na|nil|n/?a|-+|\*+)$"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def number(text: Column) -> Column:
-    """A finite double of a trimmed text, else null."""
+    """A finite double of a trimmed text, else null.
+
+    Casts also take hexadecimal numbers and numbers with a letter of their type
+    behind them, which hold an x or don't end in a digit or point.
+    """
     trimmed = F.trim(text)
-    return F.when(trimmed.rlike(_NUMBER), trimmed.try_cast("double"))
+    last = F.ascii(F.right(trimmed, F.lit(1)))
+    plain = (last.between(48, 57) | (last == 46)) & ~F.contains(trimmed, F.lit("x")) & ~F.contains(trimmed, F.lit("X"))
+    return F.when(plain, finite(trimmed))
 
 
 def finite(value: Column) -> Column:
@@ -30,11 +35,11 @@ def finite(value: Column) -> Column:
 def safe_float(text: Column) -> Column:
     """A number; a range ``a-b`` gives its middle; ``<>≤≥`` in front and commas are dropped."""
     s = F.trim(text)
-    low, high = (number(F.regexp_extract(s, r"^([^-]+)-([^-]+)$", k)) for k in (1, 2))
-    plain = number(F.replace(F.regexp_replace(s, r"^[<>≤≥]+", ""), F.lit(","), F.lit("")))
-    return F.when(F.lower(s).isin(MISSING), F.lit(None).cast("double")).otherwise(
-        F.coalesce((low + high) / 2, plain)
-    )
+    at = F.instr(s, "-")
+    low, high = number(F.substring(s, F.lit(1), at - 1)), number(F.substring(s, at + 1, F.length(s)))
+    spread = F.when((at > 1) & (F.substring_index(s, "-", 2) == s), (low + high) / 2)
+    plain = number(F.replace(F.ltrim(s, F.lit("<>≤≥")), F.lit(","), F.lit("")))
+    return F.when(F.lower(s).isin(MISSING), F.lit(None).cast("double")).otherwise(F.coalesce(spread, plain))
 
 
 def to_numeric(text: Column) -> Column:

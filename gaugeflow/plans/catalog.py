@@ -559,7 +559,8 @@ def parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n == 0, q).when(n == 1, F.concat(F.lit(" <"), q)).when(n == 2, F.concat(q, F.lit("-"), (F.col("l_quantity") + 1).cast("string"))).when(n == 3, "BDL")
         .when(n == 4, F.format_number(F.col("l_quantity") + 1000, 1)).otherwise("n/a")
     )
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", parse.safe_float(raw).alias("value"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"))
+    return rows.select("l_orderkey", "l_linenumber", parse.safe_float(F.col("raw")).alias("value"))
 
 
 @register("SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 5 THEN date_trunc('month', o_orderdate)::DATE ELSE o_orderdate::DATE END AS date FROM orders", iso=("date",))
