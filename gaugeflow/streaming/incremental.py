@@ -1,12 +1,18 @@
 """Incremental intake of snapshots with Structured Streaming.
 
 The checkpoint makes intake of files exactly once; each micro-batch is
-deduplicated, pivoted and upserted, so a replayed batch gives the same table.
+deduplicated, pivoted and upserted.  The table is a folder per day with a folder
+per version in it, and a manifest per batch that names the version of each day; a
+batch writes new folders of the days it touches and then its manifest, at once, so
+a batch that died anywhere is written again from what was there before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,6 +20,7 @@ from gaugeflow import schema
 from gaugeflow.functions import parse
 from gaugeflow.operators.lookup import keep_one
 from gaugeflow.operators.reshape import pivot_last, upsert
+from gaugeflow.scratch import materialize
 
 KEY = ["stationId", "timestamp", "parameterNo"]
 
@@ -34,32 +41,93 @@ def wide_batch(batch: DataFrame, parameters: list[str]) -> DataFrame:
     return pivot_last(rows, ["stationId", "timestamp"], parameters, "parameterName", "value", "_file")
 
 
+def _day() -> Column:
+    return F.coalesce(F.date_format(F.col("timestamp").try_cast("timestamp"), "yyyy-MM-dd"), F.lit("none"))
+
+
+class Versions:
+    """Which version of which day is current, in manifests below ``path``."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def batches(self) -> list[int]:
+        """The numbers of the committed batches."""
+        folder = self._at("_manifests")
+        if not self._fs.exists(folder):
+            return []
+        names = (s.getPath().getName() for s in self._fs.listStatus(folder))
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def current(self, before: int | None = None) -> dict[str, int]:
+        """Day -> version as of the last batch, or the last one before ``before``."""
+        known = [b for b in self.batches() if before is None or b < before]
+        if not known:
+            return {}
+        stream = self._fs.open(self._at(f"_manifests/{known[-1]}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def commit(self, number: int, days: dict[str, int]) -> None:
+        """Make ``days`` current: the manifest is written aside and renamed."""
+        aside = self._at(f"_manifests/.{number}-{uuid.uuid4().hex}")
+        stream = self._fs.create(aside, True)
+        try:
+            stream.write(bytearray(json.dumps(days, sort_keys=True).encode()))
+        finally:
+            stream.close()
+        if not self._fs.rename(aside, self._at(f"_manifests/{number}")):
+            raise OSError(f"the manifest of batch {number} can't be renamed")
+
+    def read(self, days: dict[str, int]) -> DataFrame | None:
+        folders = [f"{self.path}/day={d}/version={v}" for d, v in sorted(days.items())]
+        return self.spark.read.parquet(*folders) if folders else None
+
+
 def upsert_wide(path: str, parameters: list[str]):
     """A function for foreachBatch: the batch's rows replace those of their keys in the table at ``path``.
 
-    Versions alternate between two folders and a marker names the current one, so
-    the table is never read while it is overwritten.
+    Only the days of the batch's rows are read and written.  A batch that is
+    committed does nothing when it comes again.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = wide_batch(batch, parameters)
-        old = current_table(spark, path)
-        merged = new if old is None else upsert(old, new, ["stationId", "timestamp"])
-        side = number % 2
-        merged.write.mode("overwrite").parquet(f"{path}/side={side}")
-        spark.range(1).select(F.lit(side).alias("at"), F.lit(number).alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{path}/_current")
+        versions = Versions(batch.sparkSession, path)
+        if number in versions.batches():
+            return
+        before = versions.current(number)
+        new = materialize(wide_batch(batch, parameters).withColumn("day", _day()), "batch")
+        touched = [r.day for r in new.select("day").distinct().collect()]
+        old = versions.read({d: v for d, v in before.items() if d in touched})
+        merged = new if old is None else upsert(old.withColumn("day", _day()), new, ["stationId", "timestamp"])
+        stored = merged.withColumn("version", F.lit(number)).repartition("day")
+        stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "version").parquet(path)
+        versions.commit(number, before | dict.fromkeys(touched, number))
 
     return run
 
 
 def current_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The table as of the last batch; None before the first."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_current/_SUCCESS")
-    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
-        return None
-    side = spark.read.parquet(f"{path}/_current").first()["at"]
-    return spark.read.parquet(f"{path}/side={side}")
+    versions = Versions(spark, path)
+    return versions.read(versions.current())
+
+
+def drop_old_versions(spark: SparkSession, path: str) -> int:
+    """Delete the versions that aren't current, while no batch runs; how many."""
+    versions, dropped = Versions(spark, path), 0
+    for day, current in versions.current().items():
+        for status in versions._fs.listStatus(versions._at(f"day={day}")):
+            if status.getPath().getName() != f"version={current}":
+                versions._fs.delete(status.getPath(), True)
+                dropped += 1
+    return dropped
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, parameters: list[str]) -> StreamingQuery:
