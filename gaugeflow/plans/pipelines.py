@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,12 +64,23 @@ def training_features(readings: DataFrame, scenes: DataFrame, targets: list[str]
     return features.feature_vector(features.knn_impute(cleaned, targets))
 
 
+_TOKENS = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|==|!=|<=|>=|<>|&&|\|\||[&|~]|[^'"`=!<>&|~]+|.""", re.S)
+_SQL = {"==": "=", "&": " AND ", "&&": " AND ", "|": " OR ", "||": " OR ", "~": " NOT "}
+
+
+def sql_predicate(predicate: str) -> str:
+    """A predicate with its operators in SQL; quoted text and names are not touched."""
+    return "".join(_SQL.get(token, token) for token in _TOKENS.findall(predicate))
+
+
 def query(df: DataFrame, predicate: str, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """Rows for which an ad-hoc SQL predicate holds; ``&``, ``|`` and ``==`` are understood too.
+    """Rows for which an ad-hoc predicate holds, in SQL or with ``&``, ``|``, ``~`` and ``==``.
 
-    An invalid predicate raises ValueError with the parser's message.
+    Quoted parts stay as they are.  As in the reference language, ``&`` and ``|``
+    bind like ``and`` and ``or``.  An invalid predicate raises ValueError with the
+    parser's message.
     """
-    text = predicate.replace("==", "=").replace("&", " AND ").replace("|", " OR ")
+    text = sql_predicate(predicate)
     try:
         found = df.where(text)
     except Exception as error:
