@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions import geo, text
 from gaugeflow.functions.text import STOP_TERMS
+from gaugeflow.scratch import materialize
 
 # Weights of name and place, least score to merge, km of the place's threshold.
 NAME_WEIGHT, PLACE_WEIGHT, MERGE = 0.4, 0.6, 0.7
@@ -137,17 +138,25 @@ def grid_registry(df: DataFrame) -> DataFrame:
     Scales with the stations; unlike the greedy registry a chain of matches is one
     station and means of merged places don't shift.  ``df`` has id, name, lat, lon.
     """
-    pairs = fuzzy_join(df, df).where("left_id < right_id").select(F.col("right_id").alias("id"), F.col("left_id").alias("to"))
-    labels = df.select("id", F.col("id").alias("label")).distinct()
-    while True:
-        both = pairs.union(pairs.select("to", "id")).toDF("id", "to")
-        near = both.join(labels.select(F.col("id").alias("to"), "label"), "to").groupBy("id").agg(F.min("label").alias("near"))
-        following = labels.join(near, "id", "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"), (F.coalesce("near", "label") < F.col("label")).alias("moved"))
-        following = following.checkpoint() if following.sparkSession.sparkContext.getCheckpointDir() else following.persist()
-        moved = following.where("moved").limit(1).count()
-        labels = following.select("id", "label")
-        if not moved:
-            return labels.select("id", F.col("label").alias("canonical_id"))
+    pairs = fuzzy_join(df, df).where("left_id < right_id").select(F.col("right_id").alias("a"), F.col("left_id").alias("b"))
+    labels = _components(pairs)
+    named = df.select("id").distinct().join(labels, "id", "left")
+    return named.select("id", F.coalesce("root", "id").alias("canonical_id"))
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """(id, root) for the ends of ``edges`` (a > b): stars are hung on least neighbours, above and below in turn,
+    until nothing changes, in rounds that grow with the logarithm of the longest chain; each round is stored."""
+    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    current, state = materialize(edges.distinct(), "edges"), None
+    while state != (state := mark(current)):
+        both = current.union(current.select("b", "a")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        below = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        current = materialize(below.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+    return current.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
 def apply_registry(df: DataFrame, registry: DataFrame) -> DataFrame:

@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 from gaugeflow import schema
 from gaugeflow.functions.text import station_id
 
-#: Rows a dimension may have to be broadcast; larger ones are left to the planner.
-BROADCAST_ROWS = 100_000
-
-
-def sized_broadcast(dimension: DataFrame) -> DataFrame:
-    """``dimension`` with a broadcast hint if it has few rows."""
-    few = dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(dimension) if few else dimension
-
-
 def record_bounds(spark: SparkSession) -> DataFrame:
     rows = [(p, lo, hi) for p, (lo, hi, _) in schema.RECORD_PARAMETERS.items()]
     return spark.createDataFrame(rows, "parameter string, lo double, hi double")
@@ -58,7 +48,7 @@ def station_lookup(df: DataFrame, stations: DataFrame, *, key: str = "station_id
     """
     right = last_of_key(stations.withColumn("_key", station_id(F.col(key).cast("string"))), ["_key"], order)
     extra = [c for c in stations.columns if c not in (key, order)]
-    right = sized_broadcast(right.select("_key", *[F.col(c).alias(f"_r_{c}") for c in extra]))
+    right = right.select("_key", *[F.col(c).alias(f"_r_{c}") for c in extra])  # broadcast at run time if its size allows
     joined = df.withColumn("_key", station_id(F.col(key).cast("string"))).join(right, "_key", "left").drop("_key")
     for c in extra:
         own = F.nullif(F.col(c).cast("string"), F.lit("")) if c in df.columns else None
