@@ -77,10 +77,15 @@ def digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes, length
 
 
-def as_text(codes: np.ndarray, length: np.ndarray) -> list[str]:
-    """Digests as text: two digits of length, then four buckets to a byte."""
+def as_bytes(codes: np.ndarray, length: np.ndarray) -> list[bytes]:
+    """Digests as bytes: the length, then four buckets to a byte."""
     packed = (codes[:, 0::4] << 6) | (codes[:, 1::4] << 4) | (codes[:, 2::4] << 2) | codes[:, 3::4]
-    return [f"{n:02x}{row.tobytes().hex()}" for n, row in zip(length.tolist(), packed, strict=True)]
+    return [row.tobytes() for row in np.concatenate([length.astype(np.uint8)[:, None], packed], 1)]
+
+
+def as_text(codes: np.ndarray, length: np.ndarray) -> list[str]:
+    """Digests as hexadecimal text."""
+    return [digest.hex() for digest in as_bytes(codes, length)]
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -112,8 +117,9 @@ def fingerprint(docs: DataFrame, *, text_col: str = "text", digest_col: str = "f
     return docs.mapInArrow(run, f"{columns}, `{digest_col}` string")
 
 
+#: Digests are stored as bytes, half of their text.
 RESULT = (
-    "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
     "near_edited double, near_next double"
 )
 _NAMES = [x.split()[0] for x in RESULT.split(", ")]
@@ -133,9 +139,9 @@ def _measured(texts: list[str]) -> list[pa.Array]:
     own = plain[0][:-1], plain[1][:-1]
     return [
         pa.array([len(t) for t in texts[:-1]], pa.int64()),
-        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
-        pa.array(as_text(*own), pa.string()),
-        pa.array(as_text(*other), pa.string()),
+        pa.array([hashlib.sha256(t.encode()).digest() for t in changed], pa.binary()),
+        pa.array(as_bytes(*own), pa.binary()),
+        pa.array(as_bytes(*other), pa.binary()),
         pa.array(likeness(own, other), pa.float64()),
         pa.array(likeness(own, (plain[0][1:], plain[1][1:])), pa.float64()),
     ]
@@ -151,7 +157,7 @@ def _ranges(light: DataFrame, kind: str) -> DataFrame:
 
     def row(id_: pa.Array, results: list[pa.Array] | None, part: int, head: str | None, last: str | None) -> pa.RecordBatch:
         n = len(id_)
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
         results = results or [pa.nulls(n, k) for k in kinds]
         rest = [pa.array([part] * n, pa.int32()), pa.array([head] + [None] * (n - 1), pa.string()), pa.array([last] * n, pa.string())]
         return pa.RecordBatch.from_arrays([id_, *results, *rest], names=["id", *_NAMES, "part", "head", "last"])
@@ -202,4 +208,6 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
     done = found.where("last IS NULL").select("id", *_NAMES)
     every = done.union(lasts.mapInArrow(complete, f"id {kind}, {RESULT}"))
-    return every.withColumnRenamed("id", "doc_id")
+    digest = lambda c: F.lower(F.hex(c)).alias(c)
+    texts = {c: digest(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}
+    return every.select(F.col("id").alias("doc_id"), *[texts.get(c, F.col(c)) for c in _NAMES])
