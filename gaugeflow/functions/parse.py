@@ -5,6 +5,8 @@ A value that cannot be parsed is null.  Casts never raise, also in ANSI mode.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ MISSING_CELL = r"(?i)^(bdl|nd|nr|na|nil|n/?a|-+|\*+)$"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once; written out, long bodies don't compile."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def number(text: Column) -> Column:
     """A finite double of a trimmed text, else null.
 
@@ -49,7 +56,10 @@ def to_numeric(text: Column) -> Column:
 
 def table_number(text: Column) -> Column:
     """A number of a table cell; falls back on the first number in the text."""
-    s = F.regexp_replace(F.trim(text), r"[<>≤≥~]|\s+", "")
+    return _bound(F.regexp_replace(F.trim(text), r"[<>≤≥~]|\s+", ""), _cell_number)
+
+
+def _cell_number(s: Column) -> Column:
     spread = r"^(\d+\.?\d*)[-–](\d+\.?\d*)$"
     middle = (number(F.regexp_extract(s, spread, 1)) + number(F.regexp_extract(s, spread, 2))) / 2
     bare = F.replace(s, F.lit(","), F.lit(""))
@@ -95,6 +105,12 @@ def parse_date(text: Column) -> Column:
     """A date in the ways of mixed sources: ISO with or without time, day first with two or
     four digits of the year, month names, quarters, and day numbers of spreadsheets."""
     s = F.trim(F.replace(F.regexp_replace(F.trim(text), r"\s*[+-]\d{2}:\d{2}$", ""), F.lit("Z"), F.lit("")))
+    digit = lambda x: F.ascii(x).between(48, 57)
+    return _bound(s, lambda x: F.when(digit(x), _date_of_digits(x)).otherwise(_date_of_words(x)))
+
+
+def _date_of_digits(s: Column) -> Column:
+    """A date that begins with a digit."""
     iso = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T ].*)?$"
     dmy = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})"
     short = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2})$"
@@ -102,9 +118,7 @@ def parse_date(text: Column) -> Column:
     century = F.when(yy == "", "").when(yy.try_cast("int") < 50, F.concat(F.lit("20"), yy)).otherwise(
         F.concat(F.lit("19"), yy)
     )
-    day_first = r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})"
-    month_first = r"^([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})"
-    month_year, year_month = r"^([A-Za-z]+)\s+(\d{4})", r"^(\d{4})\s+([A-Za-z]+)"
+    day_first, year_month = r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})", r"^(\d{4})\s+([A-Za-z]+)"
     quarter = F.regexp_extract(s, r"^(\d{4})-?[Qq]([1-4])", 2)
     serial = number(s)
     one = F.lit("1")
@@ -114,8 +128,6 @@ def parse_date(text: Column) -> Column:
         made_date(*_groups(s, r"^(\d{4})/(\d{1,2})/(\d{1,2})", 1, 2, 3)),
         made_date(century, *_groups(s, short, 2, 1)),
         made_date(F.regexp_extract(s, day_first, 3), _month(F.regexp_extract(s, day_first, 2)), F.regexp_extract(s, day_first, 1)),
-        made_date(F.regexp_extract(s, month_first, 3), _month(F.regexp_extract(s, month_first, 1)), F.regexp_extract(s, month_first, 2)),
-        made_date(F.regexp_extract(s, month_year, 2), _month(F.regexp_extract(s, month_year, 1)), one),
         made_date(F.regexp_extract(s, year_month, 1), _month(F.regexp_extract(s, year_month, 2)), one),
         made_date(
             F.regexp_extract(s, r"^(\d{4})-?[Qq]([1-4])", 1),
@@ -126,7 +138,16 @@ def parse_date(text: Column) -> Column:
     )
 
 
-def mixed_timestamp(text: Column, formats: tuple[str, ...] = ("yyyy-MM-dd'T'HH:mm:ss[.SSS]X", "yyyy-MM-dd HH:mm:ss", "dd-MM-yyyy HH:mm", "yyyy-MM-dd")) -> Column:
+def _date_of_words(s: Column) -> Column:
+    """A date that begins with the name of a month."""
+    month_first, month_year = r"^([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})", r"^([A-Za-z]+)\s+(\d{4})"
+    return F.coalesce(
+        made_date(F.regexp_extract(s, month_first, 3), _month(F.regexp_extract(s, month_first, 1)), F.regexp_extract(s, month_first, 2)),
+        made_date(F.regexp_extract(s, month_year, 2), _month(F.regexp_extract(s, month_year, 1)), F.lit("1")),
+    )
+
+
+def mixed_timestamp(text: Column, formats: tuple[str, ...] = ("yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX", "yyyy-MM-dd HH:mm:ss", "dd-MM-yyyy HH:mm", "yyyy-MM-dd")) -> Column:
     """The first of ``formats`` that parses."""
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 

@@ -26,7 +26,7 @@ def header_parameter(header: str, strict: bool = True) -> str | None:
     With ``strict`` off any containment counts, so short aliases match widely.
     """
     name = re.sub(r"_+", "_", re.sub(r"[^a-z0-9_]", "_", header.lower().strip())).strip("_")
-    aliases = {a.strip("_") if strict else a: p for p, names in schema.HEADER_ALIASES.items() for a in names.split()}
+    aliases = {a.strip("_") if strict else a: p for p, names in schema.HEADER_ALIASES.items() for a in names}
     if name in aliases:
         return aliases[name]
     if not name:
@@ -132,3 +132,14 @@ def row_similarity(a: Column, b: Column) -> Column:
         lambda hit: hit,
     )
     return F.when(n > 0, F.size(same) / n).otherwise(0.0)
+
+
+def is_number_name(name: Column) -> Column:
+    """Whether a name has digits only."""
+    return F.coalesce(name.rlike(r"^\d+$"), F.lit(False))
+
+
+def edge_class(parent: Column, child: Column, groups: dict[str, list[str]]) -> Column:
+    """How an edge joins groups of names: ``a→b``, or Other if an end is in none."""
+    group = lambda c: F.coalesce(*[F.when(c.isin(names), name) for name, names in groups.items()])
+    return F.coalesce(F.concat(group(parent), F.lit("→"), group(child)), F.lit("Other"))

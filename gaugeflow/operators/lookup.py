@@ -74,3 +74,18 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
 def unprocessed(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``df`` whose key isn't among those done."""
     return df.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def members(df: DataFrame, column: str, known: DataFrame) -> DataFrame:
+    """Rows whose value is one of the first column of ``known``."""
+    return df.join(known.select(F.col(known.columns[0]).alias(column)).distinct(), column, "left_semi")
+
+
+def jobs(stations: DataFrame, parameters: list[str]) -> DataFrame:
+    """A row per station and parameter: what is to be fetched."""
+    return stations.withColumn("parameter", F.explode(F.array(*[F.lit(p) for p in sorted(parameters)])))
+
+
+def station_days(readings: DataFrame, scenes: DataFrame, keys: list[str], order: str = "_seq") -> DataFrame:
+    """Readings with the last row of the other side for their key; readings without one go."""
+    return readings.join(last_of_key(scenes, keys, order).drop(order), keys)

@@ -218,3 +218,68 @@ def progress(done: DataFrame, totals: DataFrame, key: str = "job") -> DataFrame:
     n = done.groupBy(F.split_part(F.col(key), F.lit("_"), F.lit(1)).alias("station")).agg(F.count(F.lit(1)).alias("done"))
     made = F.coalesce("done", F.lit(0))
     return totals.join(n, "station", "left").select("station", "total", made.alias("done"), F.round(100.0 * made / F.col("total"), 1).alias("pct"))
+
+
+def modes(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The most frequent value of each column by key, the least of equals."""
+    return df.groupBy(*keys).agg(*[F.mode(c, True).alias(c) for c in columns])
+
+
+def daily_means(df: DataFrame, keys: list[str], stamp: str, measures: list[str], firsts: list[str], by: str = "_seq") -> DataFrame:
+    """Means to four decimals by key and day, and the first row's ``firsts``; rows without a key or time go."""
+    whole = df.withColumn("date", F.to_date(stamp)).where(F.col("date").isNotNull()).dropna(subset=keys)
+    row = F.min_by(F.struct(*firsts), by).alias("_f") if firsts else F.lit(None).alias("_f")
+    out = whole.groupBy(*keys, "date").agg(row, *[F.round(F.avg(m), 4).alias(m) for m in measures])
+    return out.select(*keys, "date", *[F.col(f"_f.{c}").alias(c) for c in firsts], *measures)
+
+
+def pair_consistency(df: DataFrame, part: str, whole: str) -> DataFrame:
+    """Rows that have both, those whose ``part`` is at most the ``whole``, and their percentage."""
+    both = df.where(F.col(part).isNotNull() & F.col(whole).isNotNull())
+    fits = F.count_if(F.col(part) <= F.col(whole))
+    return both.agg(F.count(F.lit(1)).alias("n"), fits.alias("consistent"), F.round(100.0 * fits / F.nullif(F.count(F.lit(1)), F.lit(0)), 4).cast("double").alias("pct"))
+
+
+def extents(df: DataFrame, keys: list[str], distinct: list[str], ends: list[str]) -> DataFrame:
+    """Rows, distinct counts, least and greatest values by key."""
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_distinct(c).alias(f"n_{c}") for c in distinct], *[f(c).alias(f"{n}_{c}") for c in ends for n, f in (("min", F.min), ("max", F.max))]
+    )
+
+
+def missing_matrix(df: DataFrame, keys: list[str], columns: list[str], digits: int = 4) -> DataFrame:
+    """The percentage of nulls of each column by key."""
+    return df.groupBy(*keys).agg(*[F.round(100.0 * F.avg(F.col(c).isNull().cast("int")), digits).alias(c) for c in columns])
+
+
+def mean_matrix(df: DataFrame, row: str, column: str, values: list, measure: str, digits: int = 4) -> DataFrame:
+    """Mean and count of a measure with a pair of columns per value of ``column``."""
+    of = lambda v: F.when(F.col(column) == v, F.col(measure))
+    cells = [c for v in values for c in (F.round(F.avg(of(v)), digits).alias(f"mean_{v}"), F.count(of(v)).alias(f"n_{v}"))]
+    return df.groupBy(row).agg(*cells)
+
+
+def covered_measures(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """Rows by key and how many of the measures have any value."""
+    any_ = sum((F.max(F.col(m).isNotNull().cast("int")) for m in measures), F.lit(0))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), any_.alias("measures"))
+
+
+def station_map(df: DataFrame, keys: list[str], date: str, measures: list[str]) -> DataFrame:
+    """Rows, first and last day and means to two decimals by place; rows with a null key go."""
+    return df.dropna(subset=keys).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min(date).alias("first"), F.max(date).alias("last"), *[F.round(F.avg(m), 2).alias(m) for m in measures]
+    )
+
+
+def band_summary(bands: DataFrame, least: int = 10_000) -> DataFrame:
+    """Statistics of bands by file with ``low_count``: fewer pixels than ``least``."""
+    return bands.withColumn("low_count", F.col("count") < least)
+
+
+def file_summary(summary: DataFrame, bands: list[str]) -> DataFrame:
+    """By file the median of each band, all pixels, and whether any band has a low count."""
+    return summary.groupBy("file").agg(
+        *[F.first(F.when(F.col("band") == b, F.col("p50")), ignorenulls=True).alias(b) for b in bands],
+        F.sum("count").alias("total_valid_pixels"), F.bool_or("low_count").alias("any_low_count"),
+    )

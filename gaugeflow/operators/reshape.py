@@ -71,3 +71,38 @@ def exact_sample(df: DataFrame, key: str, *, n: int | None = None, fraction: flo
 def top(df: DataFrame, by: str, n: int, *ties: str) -> DataFrame:
     """The ``n`` rows of greatest ``by``."""
     return df.orderBy(F.col(by).desc(), *ties).limit(n)
+
+
+def truncated(df: DataFrame, most: int | None, *by: str) -> DataFrame:
+    """The first ``most`` rows; with 0 or None all."""
+    return df.orderBy(*by).limit(most) if most else df
+
+
+def tail(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """The last ``n`` rows in an order, in that order."""
+    return df.orderBy(*[F.col(c).desc() for c in by]).limit(n).orderBy(*by)
+
+
+def by_station_and_date(df: DataFrame) -> DataFrame:
+    """Sorted by name and the date's text, which is ``None`` where there is no date."""
+    return df.orderBy("station_name", F.coalesce(F.col("date").cast("string"), F.lit("None")))
+
+
+def west_to_east(df: DataFrame, region: str = "region", lon: str = "lon") -> DataFrame:
+    """Sorted by region in the order rivers flow through them, then by longitude."""
+    first = F.min(lon).over(Window.partitionBy(region))
+    return df.withColumn("_first", first).orderBy("_first", lon).drop("_first")
+
+
+def merged(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The first frame with the columns of the others by key; of columns that repeat, the first frame's count."""
+    out = frames[0]
+    for other in frames[1:]:
+        out = out.join(other.select(*keys, *[c for c in other.columns if c not in out.columns]), keys, "left")
+    return out
+
+
+def pivot_daily_mean(df: DataFrame, keys: list[str], names: list[str], kind: str = "Day.Mean", order: str = "_seq") -> DataFrame:
+    """A column per parameter with the first value of the series of one kind."""
+    first = lambda n: F.min_by(F.when(F.col("parameter") == n, F.col("value")), F.when((F.col("parameter") == n) & F.col("value").isNotNull(), F.col(order)))
+    return df.where(F.col("aggregation") == kind).groupBy(*keys).agg(*[first(n).alias(n) for n in sorted(names)])

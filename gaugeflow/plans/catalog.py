@@ -619,3 +619,6 @@ def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def band_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = readers.band_statistics(table(spark, sf_dir, "events"), keys=("event_type",))
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "std", "p5", "p50", "p95")})
+
+
+from gaugeflow.plans import coverage  # noqa: E402, F401  adds its queries

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeflow import schema
@@ -96,16 +96,18 @@ def open_data_files(spark: SparkSession, paths: list[str], source: str, strict:
 
 def spread_records(df: DataFrame, parameters: list[str], source: str = "nwmp_pdf") -> DataFrame:
     """Long observations of columns p, p_min, p_max: the value, else their mean, else either end."""
-    cell = lambda c: parse.table_number(F.col(c).cast("string")) if c in df.columns else F.lit(None).cast("double")
-    items = []
-    for p in parameters:
-        v, lo, hi = cell(p), cell(f"{p}_min"), cell(f"{p}_max")
-        both = v.isNull() & lo.isNotNull() & hi.isNotNull()
-        items.append(F.struct(F.lit(p).alias("parameter"), F.coalesce(v, (lo + hi) / 2, lo, hi).alias("value"), F.when(both, lo).alias("value_min"), F.when(both, hi).alias("value_max")))
+    cell = lambda c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+    items = [F.struct(F.lit(p).alias("parameter"), cell(p).alias("v"), cell(f"{p}_min").alias("lo"), cell(f"{p}_max").alias("hi")) for p in parameters]
     meta = [c for c in ("station_code", "station_name", "state", "source_page") if c in df.columns]
     year = F.col("year").try_cast("int")
     rows = df.select(*meta, year.alias("year"), F.make_date(year, F.lit(1), F.lit(1)).alias("date"), F.lit(source).alias("source"), F.explode(F.array(*items)).alias("e"))
-    return rows.select("*", "e.*").drop("e").where("value IS NOT NULL")
+    # parsed after the explode, so that the code holds three parsers and not three per parameter
+    given = [c for c in rows.columns if c != "e"]
+    read = rows.select(*given, "e.parameter", *[parse.table_number(F.col(f"e.{c}")).alias(f"_{c}") for c in ("v", "lo", "hi")])
+    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
+    both = v.isNull() & lo.isNotNull() & hi.isNotNull()
+    value = F.coalesce(v, (lo + hi) / 2, lo, hi).alias("value")
+    return read.select(*given, "parameter", value, F.when(both, lo).alias("value_min"), F.when(both, hi).alias("value_max")).where("value IS NOT NULL")
 
 
 def standard_source(df: DataFrame, source: str, columns: dict[str, str], *, date: str | None = None, year: str | None = None, month: int = 7, id_col: str | None = None, name_col: str | None = None, contains: tuple[str, str] | None = None) -> DataFrame:
@@ -163,10 +165,12 @@ def annual_report(df: DataFrame, parameters: list[str], skip: int = 6) -> DataFr
     """Long min, max, mean of report tables: rows of ``html_rows`` with a number in front and all cells."""
     need = 3 + 3 * len(parameters)
     good = df.where((F.col("row") >= skip) & (F.size("cells") >= need) & F.get("cells", F.lit(0)).rlike(r"^\d"))
-    triple = lambda i, k: parse.table_number(F.get("cells", F.lit(3 + 3 * i + k)))
+    triple = lambda i, k: F.get("cells", F.lit(3 + 3 * i + k))
     items = F.array(*[F.struct(F.lit(p).alias("parameter"), *[triple(i, k).alias(n) for k, n in enumerate(("value_min", "value_max", "value"))]) for i, p in enumerate(parameters)])
     meta = [F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(("station_code", "station_name", "state"))]
-    return good.select(*[c for c in df.columns if c not in ("row", "cells")], *meta, F.explode(items).alias("e")).select("*", "e.*").drop("e")
+    rows = good.select(*[c for c in df.columns if c not in ("row", "cells")], *meta, F.explode(items).alias("e"))
+    given = [c for c in rows.columns if c != "e"]
+    return rows.select(*given, "e.parameter", *[parse.table_number(F.col(f"e.{n}")).alias(n) for n in ("value_min", "value_max", "value")])
 
 
 def header_row(cells: Column, keywords: list[str], least: int = 2) -> Column:
@@ -236,3 +240,82 @@ def snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 def season_of(df: DataFrame, date: str = "date") -> DataFrame:
     return df.withColumn("season", dates.season(F.month(date)))
+
+
+PLACE_WORDS = ["station", "location", "site", "river", "water_body", "waterbody", "name"]
+
+
+def naming(df: DataFrame, words: list[str]) -> DataFrame:
+    """Rows whose columns of places, or all text columns where there are none, hold any of ``words``."""
+    texts = [c for c in df.columns if any(w in c.lower() for w in PLACE_WORDS)]
+    texts = texts or [n for n, kind in df.dtypes if kind == "string"]
+    hit = F.lit(False)
+    for c in texts:
+        low = F.lower(F.col(f"`{c}`").cast("string"))
+        for w in words:
+            hit = hit | F.coalesce(F.contains(low, F.lit(w.lower())), F.lit(False))
+    return df.where(hit)
+
+
+def manifest(packages: dict[str, DataFrame]) -> DataFrame:
+    """A row per package: its name, rows and columns."""
+    rows = [df.agg(F.lit(name).alias("package"), F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("columns")) for name, df in packages.items()]
+    return union_all(rows)
+
+
+def staged(spark: SparkSession, paths: dict[str, str]) -> dict[str, str]:
+    """Those of ``paths`` that exist."""
+    def exists(path: str) -> bool:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+    return {name: path for name, path in paths.items() if exists(path)}
+
+
+def yearly_means(df: DataFrame, source: str, year: int) -> DataFrame:
+    """A yearly file whose headers of means name their measures, dated to the first of July."""
+    columns = {}
+    for c in df.columns:
+        if "mean" in c.lower():
+            measure = next((m for words, m in schema.MEAN_COLUMNS if any(w in c.lower() for w in words)), None)
+            if measure:
+                columns[c] = measure
+    return standard_source(df.withColumn("_year", F.lit(year)), source, columns, year="_year", id_col="station_code", name_col="locations")
+
+
+def yearly_medians(df: DataFrame, source: str) -> DataFrame:
+    columns = {"do__mg_l_": "Dissolved_Oxygen_mg_l", "bod__mg_l_": "BOD_mg_l", "ph": "pH", "fc__mpn_100ml_": "Fecal_Coliform_MPN_100ml"}
+    return standard_source(df, source, {c: m for c, m in columns.items() if c in df.columns}, year="_year", id_col="station_code", name_col="station_name")
+
+
+def stationwise(df: DataFrame, source: str, year: int, holding: str = "", id_col: str = "station_name") -> DataFrame:
+    """A file with oxygen and coliform columns, the first of each whose header has ``holding``."""
+    columns = {}
+    for word, measure in (("dissolved_oxygen", "Dissolved_Oxygen_mg_l"), ("faecal", "Fecal_Coliform_MPN_100ml")):
+        found = next((c for c in df.columns if word in c.lower() and holding in c), None)
+        if found:
+            columns[found] = measure
+    return standard_source(df.withColumn("_year", F.lit(year)), source, columns, year="_year", id_col=id_col if id_col in df.columns else "station_name", name_col="station_name")
+
+
+def surface_water(df: DataFrame, source: str, river: str = "Ganga") -> DataFrame:
+    """The large file of surface water, of one basin."""
+    df = df.withColumnsRenamed({"Latitude": "latitude", "Longitude": "longitude"})
+    columns = {c: m for c, m in schema.SURFACE_COLUMNS.items() if c in df.columns}
+    basin = ("Basin", river) if "Basin" in df.columns else None
+    return standard_source(df, source, columns, date="Date", year="Year", id_col="Station_Name", name_col="Station_Name", contains=basin)
+
+
+def joined_fragments(df: DataFrame, least: int = 3) -> DataFrame:
+    """Tables (table, row, cells) that were cut by pages: a table of as many columns as the one before it goes on with its rows.
+
+    ``table`` counts from 0; rows of fewer than ``least`` cells are left out.
+    """
+    rows = df.where(F.size("cells") >= least)
+    heads = rows.groupBy("table").agg(F.max(F.size("cells")).alias("_n"))
+    before = Window.partitionBy().orderBy("table")  # a row per table
+    groups = heads.withColumn("_new", F.coalesce((F.lag("_n").over(before) != F.col("_n")).cast("int"), F.lit(1)))
+    groups = groups.select("table", F.sum("_new").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_group"))
+    placed = rows.join(F.broadcast(groups), "table")
+    at = F.row_number().over(Window.partitionBy("_group").orderBy("table", "row")) - 1
+    return placed.select((F.col("_group") - 1).alias("table"), at.alias("row"), "cells")
