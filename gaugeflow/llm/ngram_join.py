@@ -13,14 +13,19 @@ at most ``k`` elements differ between similar sets.  With ``p`` ranges at least
 
 Sets are compared by class (equal sets).  Similar sets share at least as many
 signatures of a band as ranges agree for sure and aren't left out by either, so a
-class that shares fewer with all others leaves the band.  Classes that share signatures,
-directly or through others, form a unit; a unit's sets are sent to one task, or, if they
-are many, cut in blocks with a task per pair of blocks.  A unit so large that its
+class that shares fewer with all others leaves the band.
+
+Each signature group has a pivot, its least class.  First every class is compared
+with the pivot it shares most signatures with, in pieces of a bounded number of
+classes, so near copies of one text cost a comparison each.  Classes that share
+signatures, directly or through others, form a unit; a unit that these links
+connect is done.  The sets of another unit are sent to one task, or, if they are
+many, cut in blocks with a task per pair of blocks; a unit so large that its
 single signature groups hold fewer pairs is taken apart into them.  A task walks
 through its classes and compares one with those that it isn't connected with yet:
 first by parity sketches, whose difference never exceeds that of the sets, then
 by the whole sets.  It returns the links that connected something, so no pairs of
-a group are written, and near copies cost a link each.
+a group are written.
 
 Shingles are compared by 64-bit hashes and classes by a 64-bit hash of their set.
 
@@ -55,8 +60,10 @@ BAND = 1.6
 FEW = 3
 #: Classes and set elements of a block of a unit.
 BLOCK, BLOCK_ITEMS = 4096, 1_500_000
+#: Classes of a piece that is compared with its pivot.
+PIECE = 512
 #: Up to so many classes a unit isn't taken apart.
-UNIT = 50_000
+UNIT = 8192
 SKETCH_BITS = 2048
 #: A signature's low bits hold its band.
 BAND_MASK = 127
@@ -218,14 +225,55 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _unit_links(blocks: tuple, items: list, sketch: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def _near(size: np.ndarray, other: int, sketch: np.ndarray, against: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets may be similar to another: sizes and sketches of similar sets are near."""
+    bound = (size + other) * (100 - percent)
+    fits = np.abs(size - other) * (100 + percent) <= bound
+    differ = np.bitwise_count(sketch[fits] ^ against).sum(1, dtype=np.int64)
+    fits[fits] = differ * (100 + percent) <= bound[fits]
+    return fits
+
+
+def _sets(part: pa.RecordBatch, sketch_at: int, items_at: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sketches and sets of the rows of a batch."""
+    sets = part.column(items_at)
+    flat = sets.flatten().to_numpy().view(np.uint64)
+    cut = np.cumsum(pa.compute.list_value_length(sets).to_numpy())[:-1]
+    sketch = part.column(sketch_at).flatten().to_numpy().view(np.uint64).reshape(part.num_rows, -1)
+    return sketch, np.split(flat, cut)
+
+
+def _star(percent: int):
+    """Links (a, b) of pivots and their classes in sorted rows (pivot, piece, member, class, sketch, items), the pivot first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, one, its_sketch = None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of, classes = (batch.column(k).to_numpy() for k in (0, 3))
+            sketch, items = _sets(batch, 4, 5)
+            size = np.array([len(x) for x in items])
+            found = []
+            edge = np.flatnonzero(of[1:] != of[:-1]) + 1
+            for begin, end in zip([0, *edge.tolist()], [*edge.tolist(), len(of)], strict=True):
+                if of[begin] != pivot:
+                    pivot, one, its_sketch = of[begin], items[begin].copy(), sketch[begin].copy()
+                near = _near(size[begin:end], len(one), sketch[begin:end], its_sketch, percent) & (classes[begin:end] != pivot)
+                found += [begin + k for k in np.flatnonzero(near).tolist() if _similar(one, items[begin + k], percent)]
+            yield pa.RecordBatch.from_arrays([pa.array(of[found], pa.int64()), pa.array(classes[found], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _unit_links(blocks: np.ndarray, label: np.ndarray, items: list, sketch: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Places (i, j) of similar sets that connect all of a task's classes that can be.
 
     ``blocks`` holds each class's block; of two blocks only pairs across count,
-    as another task has those within.
+    as another task has those within.  Classes of one ``label`` are connected.
     """
     size = np.array([len(x) for x in items])
-    root = np.arange(len(items))
+    root = np.unique(label, return_inverse=True)[1]
     across = len(set(blocks.tolist())) > 1
     links = []
     for i in range(len(items) - 1):
@@ -233,11 +281,7 @@ def _unit_links(blocks: tuple, items: list, sketch: np.ndarray, percent: int) ->
         if across:
             other &= blocks[i + 1 :] != blocks[i]
         other = np.flatnonzero(other) + i + 1
-        # of similar sets, sizes and sketches are near
-        bound = (size[other] + size[i]) * (100 - percent)
-        other = other[np.abs(size[other] - size[i]) * (100 + percent) <= bound]
-        differ = np.bitwise_count(sketch[other] ^ sketch[i]).sum(1, dtype=np.int64)
-        other = other[differ * (100 + percent) <= (size[other] + size[i]) * (100 - percent)]
+        other = other[_near(size[other], size[i], sketch[other], sketch[i], percent)]
         for j in other.tolist():
             if root[i] != root[j] and _similar(items[i], items[j], percent):
                 low, high = sorted((root[i], root[j]))
@@ -247,14 +291,14 @@ def _unit_links(blocks: tuple, items: list, sketch: np.ndarray, percent: int) ->
 
 
 def _compare(percent: int):
-    """Links (a, b) of the units in sorted rows (unit, i, j, block, class, sketch, items)."""
+    """Links (a, b) of the units in sorted rows (unit, i, j, block, class, label, sketch, items)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def links() -> pa.RecordBatch:
-            blocks, number, sketch, items = (np.concatenate(x) if k < 3 else sum(x, []) for k, x in enumerate(zip(*held)))
-            found = _unit_links(blocks, items, sketch, percent)
+            blocks, number, label, sketch, items = (np.concatenate(x) if k < 4 else sum(x, []) for k, x in enumerate(zip(*held)))
+            found = _unit_links(blocks, label, items, sketch, percent)
             ends = [pa.array([int(number[p[k]]) for p in found], pa.int64()) for k in (0, 1)]
             return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
@@ -267,16 +311,7 @@ def _compare(percent: int):
                     held = []
                 at = tuple(key[begin])
                 part = batch.slice(begin, end - begin)
-                sets, flat = part.column(6), part.column(6).flatten().to_numpy().view(np.uint64)
-                cut = np.cumsum(pa.compute.list_value_length(sets).to_numpy())[:-1]
-                held.append(
-                    (
-                        part.column(3).to_numpy(),
-                        part.column(4).to_numpy(),
-                        part.column(5).flatten().to_numpy().view(np.uint64).reshape(len(part.column(4)), -1),
-                        np.split(flat, cut),
-                    )
-                )
+                held.append((*(part.column(k).to_numpy() for k in (3, 4, 5)), *_sets(part, 6, 7)))
         if held:
             yield links()
 
@@ -309,37 +344,59 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
     return found
 
 
+def star_links(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) of classes with the pivot they share most signatures with, if similar."""
+    shares = members.where("class <> least").groupBy("class", "least").agg(F.count(F.lit(1)).alias("n"))
+    best = F.max(F.struct("n", F.col("least").alias("pivot"))).alias("best")
+    chosen = materialize(shares.groupBy("class").agg(best).select("class", "best.pivot"), "pivots")
+    pieces = chosen.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
+    pieces = materialize(pieces, "pieces")
+    piece = F.pmod(F.xxhash64("class"), F.col("pieces")).cast("int").alias("piece")
+    rows = chosen.join(pieces, "pivot").select("pivot", piece, F.lit(1).alias("member"), "class")
+    own = pieces.select("pivot", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("member"), F.col("pivot").alias("class"))
+    places = materialize(rows.union(own), "places")
+    tasks = set_rows(texts, words).join(sided(places), "class").select("pivot", "piece", "member", "class", "sketch", "items")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = tasks.repartition(parts, "pivot", "piece").sortWithinPartitions("pivot", "piece", "member")
+    return materialize(ordered.mapInArrow(_star(percent), "a long, b long"), "stars")
+
+
 def class_links(members: DataFrame, sizes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) that connect all similar classes.
 
     ``members`` has (signature, least, class), ``sizes`` (class, n) and ``texts``
     (text) the text of each class.
     """
+    stars = star_links(members, texts, words, percent)
+    labels = connected_components(stars).select(F.col("node").alias("class"), F.col("component").alias("label"))
     units = connected_components(members.where("class <> least").select("class", "least"))
-    sized = materialize(
-        units.select(F.col("component").alias("unit"), F.col("node").alias("class")).join(sizes, "class"), "sized"
+    sized = units.select(F.col("component").alias("unit"), F.col("node").alias("class")).join(sizes, "class").join(labels, "class", "left")
+    sized = materialize(sized.withColumn("label", F.coalesce("label", "class")), "sized")
+    whole = sized.groupBy("unit").agg(
+        F.count(F.lit(1)).alias("classes"), F.sum("n").alias("elements"), F.min("label").alias("least"), F.max("label").alias("most")
     )
-    whole = sized.groupBy("unit").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("elements"))
     pieces = lambda n, m: F.greatest(F.ceil(n / BLOCK), F.ceil(m / BLOCK_ITEMS)).cast("int")
-    whole = materialize(whole.withColumn("blocks", pieces(F.col("classes"), F.col("elements"))), "units")
-    dealt = sized.join(whole.select("unit", "classes", "blocks"), "unit").select("unit", "class", "n", "classes", "blocks")
+    whole = whole.where("least < most").withColumn("blocks", pieces(F.col("classes"), F.col("elements")))
+    whole = materialize(whole, "units")  # those that the stars left in parts
+    dealt = sized.join(whole.select("unit", "classes", "blocks"), "unit").select("unit", "class", "label", "n", "classes", "blocks")
     if not whole.where(F.col("classes") > UNIT).isEmpty():
         # of the large units, those whose groups hold fewer pairs are dealt by group
         grouped = members.select("signature", "class").join(dealt.where(F.col("classes") > UNIT), "class")
         groups = grouped.groupBy("unit", "classes", "signature").agg(
-            F.count(F.lit(1)).alias("size"), F.sum("n").alias("elements")
+            F.count(F.lit(1)).alias("size"), F.sum("n").alias("elements"), F.min("label").alias("least"), F.max("label").alias("most")
         )
+        square = F.when(F.col("least") < F.col("most"), F.col("size").cast("double") * F.col("size")).otherwise(0.0)
         apart = (
             groups.groupBy("unit", "classes")
-            .agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("pairs"))
+            .agg(F.sum(square).alias("pairs"))
             .where(F.col("pairs") < F.col("classes").cast("double") * F.col("classes"))
             .select("unit")
         )
-        groups = groups.select("signature", pieces(F.col("size"), F.col("elements")).alias("pieces"))
+        groups = groups.where("least < most").select("signature", pieces(F.col("size"), F.col("elements")).alias("pieces"))
         by_group = (
             grouped.join(apart, "unit", "left_semi")
             .join(groups, "signature")
-            .select(F.col("signature").alias("unit"), "class", "n", "classes", F.col("pieces").alias("blocks"))
+            .select(F.col("signature").alias("unit"), "class", "label", "n", "classes", F.col("pieces").alias("blocks"))
         )
         dealt = dealt.join(apart, "unit", "left_anti").union(by_group)
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
@@ -347,14 +404,15 @@ def class_links(members: DataFrame, sizes: DataFrame, texts: DataFrame, words: i
         dealt.withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
-            "unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class"
+            "unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "label"
         )
     )
     places = materialize(places, "places")
-    tasks = set_rows(texts, words).join(sided(places), "class").select("unit", "i", "j", "block", "class", "sketch", "items")
+    tasks = set_rows(texts, words).join(sided(places), "class").select("unit", "i", "j", "block", "class", "label", "sketch", "items")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = tasks.repartition(parts, "unit", "i", "j").sortWithinPartitions("unit", "i", "j", "class")
-    return materialize(ordered.mapInArrow(_compare(percent), "a long, b long"), "links")
+    links = materialize(ordered.mapInArrow(_compare(percent), "a long, b long"), "links")
+    return stars.union(links)
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:

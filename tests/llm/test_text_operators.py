@@ -354,6 +354,20 @@ def test_join_in_blocks_and_groups(spark, monkeypatch):
     assert [out[i] for i in range(len(texts))] == similar_components(texts, 4, 85)
 
 
+def test_join_of_many_near_copies(spark, monkeypatch):
+    """Near copies of one text, chains of texts that are only similar to the next, and pieces of a pivot."""
+    monkeypatch.setattr(ngram_join, "PIECE", 5)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    random.seed(29)
+    base = [f"b{i}" for i in range(200)]
+    near = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(0, 200, 3)]
+    chain = [" ".join(f"c{i}" for i in range(k * 8, k * 8 + 160)) for k in range(25)]
+    texts = near + chain + near_copies(31, 20)
+    random.shuffle(texts)
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(docs(spark, texts), words=4, percent=85).collect()}
+    assert [out[i] for i in range(len(texts))] == similar_components(texts, 4, 85)
+
+
 def test_bands_cover_all_similar_sizes():
     for percent in (80, 85):
         for y in range(1, 3000):
