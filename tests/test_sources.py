@@ -79,6 +79,40 @@ def test_stream_is_idempotent(spark, tmp_path):
     assert rows == [(1, 6.0, None), (2, 1.0, None)]  # the new row replaces the old one as a whole
 
 
+def test_stream_survives_a_crash(spark, tmp_path, monkeypatch):
+    """A batch that dies between its data and its manifest is written again from what was there before it."""
+    src, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    src.mkdir()
+    head = "stationId,timestamp,timestampDate,value,unit,parameterNo,parameterName\n"
+    row = lambda station, day, value: f"{station},2024-01-0{day}T00:00:00.000Z,2024-01-0{day},{value},mg/L,DO,do\n"
+    run = lambda: incremental.run_available(incremental.snapshot_stream(spark, str(src)), out, mark, ["do"])
+    (src / "water_data_1.csv").write_text(head + row(1, 1, 5) + row(1, 2, 6))
+    run()
+    (src / "water_data_2.csv").write_text(head + row(1, 1, 7) + row(2, 1, 8))
+    commit = incremental.Versions.commit
+
+    def dies(self, number, days):
+        raise RuntimeError("the executor is gone")
+
+    monkeypatch.setattr(incremental.Versions, "commit", dies)
+    try:
+        run()
+    except Exception as error:
+        assert "gone" in str(error)
+    else:
+        raise AssertionError
+    read = lambda: sorted((r.stationId, r.timestamp[:10], r.do) for r in incremental.current_table(spark, out).collect())
+    assert read() == [(1, "2024-01-01", 5.0), (1, "2024-01-02", 6.0)]  # as before the batch
+    monkeypatch.setattr(incremental.Versions, "commit", commit)
+    run()
+    assert read() == [(1, "2024-01-01", 7.0), (1, "2024-01-02", 6.0), (2, "2024-01-01", 8.0)]
+    versions = incremental.Versions(spark, out)
+    assert versions.current() == {"2024-01-01": 1, "2024-01-02": 0}  # the other day wasn't written
+    batch = spark.createDataFrame([(3, "2024-01-01T00:00:00.000Z", "2024-01-01", 1.0, "mg/L", "DO", "do", "f")], "stationId long, timestamp string, timestampDate string, value double, unit string, parameterNo string, parameterName string, _file string")
+    incremental.upsert_wide(out, ["do"])(batch, 1)  # a committed batch that comes again
+    assert len(read()) == 3 and incremental.drop_old_versions(spark, out) == 1 and len(read()) == 3
+
+
 def test_adhoc_query(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 9.0)], "i int, v double")
     assert [r.i for r in pipelines.query(df, "v > 6 & i == 2", ["i"]).collect()] == [2]
