@@ -13,7 +13,9 @@ at most ``k`` elements differ between similar sets.  With ``p`` ranges at least
 
 Sets are compared by class (equal sets).  Similar sets share at least as many
 signatures of a band as ranges agree for sure and aren't left out by either, so a
-class that shares fewer with all others leaves the band.
+class that shares fewer with all others leaves the band.  Of the others a class keeps
+so many, the rarest first, that less than this number is left out: of two sets that
+share the number, the kept parts then share one.
 
 Each signature group has a pivot, its least class.  First every class is compared
 with the pivot it shares most signatures with, in pieces of a bounded number of
@@ -63,7 +65,7 @@ BLOCK, BLOCK_ITEMS = 4096, 1_500_000
 #: Classes of a piece that is compared with its pivot.
 PIECE = 512
 #: Up to so many classes a unit isn't taken apart.
-UNIT = 8192
+UNIT = 50_000
 SKETCH_BITS = 2048
 #: A signature's low bits hold its band.
 BAND_MASK = 127
@@ -319,12 +321,12 @@ def _compare(percent: int):
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """(signature, least, class) of signatures that several classes share."""
+    """(signature, least, rows, class) of signatures that several classes share, and in how many rows."""
     shared = (
         rows.groupBy("signature")
-        .agg(F.min("class").alias("least"), F.max("class").alias("most"))
+        .agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count(F.lit(1)).alias("rows"))
         .where("least < most")
-        .select("signature", "least")
+        .select("signature", "least", "rows")
     )
     return rows.join(materialize(shared, "shared"), "signature")
 
@@ -332,15 +334,20 @@ def _grouped(rows: DataFrame) -> DataFrame:
 def shared_signatures(rows: DataFrame) -> DataFrame:
     """(signature, least, class) of ``signature_rows``, without bands that a class can't have links in."""
     members = _grouped(rows.select(F.explode("signatures").alias("signature"), "class"))
-    members = materialize(members.select("signature", "class").distinct(), "members")
+    members = materialize(members.select("signature", "rows", "class").distinct(), "members")
     needs = rows.where("class IS NOT NULL").select("class", F.explode(F.arrays_zip("bands", "needs")).alias("b"))
     needs = needs.select("class", F.col("b.bands").alias("band"), F.col("b.needs").alias("need")).distinct()
     banded = members.withColumn("band", F.col("signature").bitwiseAND(F.lit(BAND_MASK)).cast("int"))
-    # a class has some hundred signatures of a band
-    counted = banded.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("class", "band")))
-    kept = counted.join(needs, ["class", "band"]).where("count >= need").select("signature", "class")
-    found = materialize(_grouped(materialize(kept, "kept")), "members")
+    # a class has some hundred signatures of a band; those that no other class has come before all of these
+    own = Window.partitionBy("class", "band")
+    counted = banded.withColumns(
+        {"count": F.count(F.lit(1)).over(own), "rank": F.row_number().over(own.orderBy("rows", "signature"))}
+    )
+    kept = counted.join(needs, ["class", "band"]).where("count >= need AND rank <= count - need + 1").select("signature", "class")
+    kept = materialize(kept, "kept")
+    found = materialize(_grouped(kept).drop("rows"), "members")
     discard(members)
+    discard(kept)
     return found
 
 
