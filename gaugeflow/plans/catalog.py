@@ -438,12 +438,14 @@ def monthly_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT user_id, ts::DATE AS day, round(avg(value), 4) AS mean, min(event_id) AS first_id FROM events GROUP BY ALL", iso=("day",))
 def daily_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 4).alias("mean"), F.min_by("event_id", "event_id").alias("first_id"))
+    rows = table(spark, sf_dir, "events").withColumn("first_id", F.col("event_id"))
+    out = profile.daily_means(rows, ["user_id"], "ts", ["value"], ["first_id"], "event_id")
+    return out.withColumnsRenamed({"date": "day", "value": "mean"})
 
 
 @register("SELECT user_id, event_type AS mode FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS rn FROM events GROUP BY user_id, event_type) WHERE rn = 1")
 def mode_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.mode("event_type", True).alias("mode"))
+    return profile.modes(table(spark, sf_dir, "events"), ["user_id"], ["event_type"]).withColumnRenamed("event_type", "mode")
 
 
 @register("WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT least(floor((value - lo) / ((hi - lo) / 30)), 29)::INT AS bin, count(*) AS n FROM events, e GROUP BY 1")
@@ -519,12 +521,14 @@ SELECT l_orderkey, l_linenumber, round(CASE WHEN abs(B3 + B8) > 1e-10 THEN (B3 -
 round(CASE WHEN abs(B3 + B2) > 1e-10 THEN (B8 - B4) / (B3 + B2) ELSE 0 END, 6) + 0.0 AS sabi, round(B8 / greatest(B4, 1e-6), 4) + 0.0 AS b8_b4, round(sin(2 * pi() * month(d) / 12), 6) + 0.0 AS month_sin, round(cos(2 * pi() * month(d) / 12), 6) + 0.0 AS month_cos,
 CASE WHEN month(d) IN (12, 1, 2) THEN 'Winter (Dec-Feb)' WHEN month(d) <= 5 THEN 'Pre-Monsoon (Mar-May)' WHEN month(d) <= 9 THEN 'Monsoon (Jun-Sep)' ELSE 'Post-Monsoon (Oct-Nov)' END AS season FROM b""")
 def spectral_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b3, b8, b4, b2 = F.col("l_quantity") / 100, F.col("l_discount"), F.col("l_tax"), F.lit(0.05)
+    flat = F.lit(0.05)
+    bands = {"B2": flat, "B3": F.col("l_quantity") / 100, "B4": F.col("l_tax"), "B5": flat, "B6": flat, "B8": F.col("l_discount"), "B11": flat}
+    found, ratios = spectral.indices(bands), spectral.band_ratios(bands)
     sine, cosine = dates.month_cycle(F.month("l_shipdate"))
     r = lambda c, n, d=6: (F.round(c, d) + 0.0).alias(n)
     return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", r(spectral.normalized_difference(b3, b8), "ndwi"), r(spectral.normalized_difference(b8, b4), "ndvi"), r(spectral.ratio(b8 - b4, b3 + b2), "sabi"),
-        r(b8 / F.greatest(b4, F.lit(1e-6)), "b8_b4", 4), r(sine, "month_sin"), r(cosine, "month_cos"), dates.season(F.month("l_shipdate")).alias("season"),
+        "l_orderkey", "l_linenumber", r(found["NDWI"], "ndwi"), r(found["NDVI"], "ndvi"), r(found["SABI"], "sabi"),
+        r(ratios["B8_B4"], "b8_b4", 4), r(sine, "month_sin"), r(cosine, "month_cos"), dates.season(F.month("l_shipdate")).alias("season"),
     )
 
 
@@ -607,12 +611,13 @@ def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""SELECT event_id, (json_extract(props, '$.k'))::INT AS k FROM events""")
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int").k.alias("k"))
+    return readers.json_fields(table(spark, sf_dir, "events").select("event_id", "props"), "props", "k int")
 
 
 @register("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages""")
 def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("paragraphs"))
+    pages = readers.tag_texts(table(spark, sf_dir, "pages").select("page_id", "html"), "html", ["title"], {"paragraphs": "<p>"})
+    return pages.drop("html")
 
 
 @register("""SELECT event_type, count(*) AS count, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max, round(quantile_cont(value, 0.05), 6) AS p5, round(median(value), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1""")

@@ -224,12 +224,6 @@ def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("value IS NOT NULL").select("l_orderkey", "l_linenumber", "parameter", "value_min", "value_max", "value")
 
 
-@register("""SELECT page_id, len(regexp_extract_all(html, '(?i)<td')) AS cells FROM pages WHERE regexp_matches(html, '(?i)<tr[ >]')""")
-def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = readers.html_rows(table(spark, sf_dir, "pages").select("page_id", "html"))
-    return rows.groupBy("page_id").agg(F.sum(F.size("cells")).alias("cells"))
-
-
 @register("""WITH t AS (SELECT o_orderkey, o_custkey FROM orders)
 SELECT o_orderkey::VARCHAR AS "table", 'bod' AS name, o_custkey::VARCHAR AS cell FROM t UNION ALL SELECT o_orderkey::VARCHAR, 'name', 'Patna' FROM t""")
 def extracted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -554,6 +548,26 @@ def profiled_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.profiled_composite(readings, scenes, profiles, ["key"], ["B1"])
 
 
+@register("SELECT user_id, ts::DATE::VARCHAR AS day, arg_min(event_type, event_id) AS event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def first_station_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "event_type", "event_id")
+    return sinks.iso_dates(lookup.first_of_key(e, ["user_id", "day"], "event_id"))
+
+
+@register("SELECT user_id % 20 AS \"stationId\", event_type AS \"parameterName\", count(*) AS n, round(max(value), 6) AS value FROM events GROUP BY 1, 2")
+def hourly_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshot files and a file of another name, which isn't read."""
+    e = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 20).alias("stationId"), F.col("ts").cast("string").alias("timestamp"), F.date_format("ts", "yyyy-MM-dd").alias("timestampDate"), "value", F.lit("mg/L").alias("unit"), F.col("event_type").alias("parameterNo"),
+        F.col("event_type").alias("parameterName"), (F.col("event_id") % 2).alias("k"),
+    )
+    root = scratch_path(spark, "snapshots")
+    for k, name in ((0, "water_data_0.csv"), (1, "water_data_1.csv"), (1, "other.csv")):
+        e.where(F.col("k") == k).drop("k").coalesce(1).write.option("header", True).csv(f"{root}/w-{name}")
+        _moved(spark, f"{root}/w-{name}", f"{root}/in/{name}")
+    return readers.snapshots(spark, f"{root}/in").groupBy("stationId", "parameterName").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("value"), 6).alias("value"))
+
+
 # --- reports -------------------------------------------------------------------------
 
 

@@ -152,6 +152,17 @@ def feed_rows(df: DataFrame, names: dict[str, str], column: str = "json") -> Dat
     )
 
 
+def json_fields(df: DataFrame, column: str, kinds: str) -> DataFrame:
+    """The fields of a flat JSON column in its place; what isn't of its kind is null."""
+    return df.withColumn("_j", F.from_json(column, kinds)).select(*[c for c in df.columns if c != column], "_j.*")
+
+
+def tag_texts(df: DataFrame, column: str, tags: list[str], counts: dict[str, str]) -> DataFrame:
+    """``df`` with the text of the first of each tag, and how often pieces of HTML occur."""
+    texts = {t: F.regexp_extract(column, f"<{t}>([^<]*)</{t}>", 1) for t in tags}
+    return df.withColumns({**texts, **{n: F.regexp_count(column, F.lit(piece)).cast("long") for n, piece in counts.items()}})
+
+
 def html_rows(df: DataFrame, column: str = "html") -> DataFrame:
     """(.., row, cells): the table rows of HTML, cells without tags."""
     keep = [c for c in df.columns if c != column]
