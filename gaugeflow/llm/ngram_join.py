@@ -487,6 +487,10 @@ def keep_first(
     Rows without an id stay, and so do all rows without words, which are
     components of their own.
     """
+    names = docs.columns
+    # columns of any name: they are numbered here and named again in the result
+    id_col, text_col = (f"c{names.index(c)}" for c in (id_col, text_col))
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
     labelled = _labelled(docs, id_col, text_col, words, percent)
     labelled = materialize(labelled.select("doc_id", "n_shingles", "component_id", "class_id", "component"), "first")
     is_first = F.col("doc_id") == F.col("component_id")
@@ -502,7 +506,7 @@ def keep_first(
     joined = docs.join(sided(kept), F.col(id_col) == F.col("__kept"), "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     if not most or most == 1:
-        return joined.where(F.col(id_col).isNull() | F.col("__kept").isNotNull()).select(*columns)
+        return joined.where(F.col(id_col).isNull() | F.col("__kept").isNotNull()).select(*columns).toDF(*names)
     single = joined.where(F.col(id_col).isNull() | (F.col("__rows") == 1)).select(*columns)
     # rows of one id are told apart by their class, of which a component keeps one
     chosen = materialize(
@@ -515,4 +519,4 @@ def keep_first(
     repeated = _with_class(joined.where("__rows > 1").select(*columns), text_col, words)
     texts = repeated.join(chosen, (F.col(id_col) == F.col("__id")) & (F.col("__class") == F.col("__chosen")))
     texts = texts.dropDuplicates(["__id", "__chosen"]).select(*columns)
-    return single.union(texts).union(repeated.where("__class IS NULL").select(*columns))
+    return single.union(texts).union(repeated.where("__class IS NULL").select(*columns)).toDF(*names)

@@ -393,7 +393,9 @@ def test_similar_sets_share_what_they_need(percent, common, others):
 
 
 def test_keep_first(spark):
-    df = docs(spark, ["a b c d e f", "a b c d e f", None, "", "z"]).withColumns({"class": F.lit("k"), "n": F.lit(1)})
+    clash = {c: F.lit("k") for c in ("class", "n", "__kept", "__rows", "__class", "component", "c0")}
+    df = docs(spark, ["a b c d e f", "a b c d e f", None, "", "z"]).withColumns(clash)
+    assert ngram_join.keep_first(df).columns == df.columns
     df = df.union(df.where("doc_id = 0")).union(df.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
     assert sorted((r.doc_id for r in ngram_join.keep_first(df).collect()), key=str) == [0, 2, 3, 4, None]
     assert ngram_join.keep_first(docs(spark, [])).count() == 0
