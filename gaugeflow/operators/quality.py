@@ -312,14 +312,17 @@ def resolve_conflicts(df: DataFrame, keys: list[str] | None = None, trust: dict[
     keys = keys or ["station_id", "sample_date", "parameter"]
     trust = schema.CANONICAL_TRUST if trust is None else trust
     kept = df.where(F.col("quality_flag") != schema.REJECTED)
+    # numbers only, so that groups are hashed and not sorted: hashes of sources, and the first row of each level of trust
+    source, level = F.xxhash64(F.coalesce("source", F.lit(""))), trust_of(F.col("source"), trust)
+    levels = sorted({*trust.values(), schema.DEFAULT_TRUST}, reverse=True)
     stats = kept.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
-        (F.min(F.coalesce("source", F.lit(""))) != F.max(F.coalesce("source", F.lit("")))).alias("_several"),
+        (F.min(source) != F.max(source)).alias("_several"),
         F.avg("value").alias("_mean"),
         F.min("value").alias("_lo"),
         F.max("value").alias("_hi"),
         F.min("_seq").alias("_first"),
-        F.max_by("_seq", F.struct(trust_of(F.col("source"), trust).alias("t"), (-F.col("_seq")).alias("s"))).alias("_best"),
+        F.coalesce(*[F.min(F.when(level == one, F.col("_seq"))) for one in levels]).alias("_best"),
     )
     rows = _null_safe(kept, stats, keys)
     spread = F.greatest(F.col("_hi") - F.col("_mean"), F.col("_mean") - F.col("_lo")) / F.abs("_mean")
