@@ -96,7 +96,7 @@ def column_percentiles(df: DataFrame, columns: list[str], shares: list[float]) -
     return q.agg(*[of(c).alias(c) for c in columns])
 
 
-def running(df: DataFrame, order: list[str], amount: Column, name: str) -> DataFrame:
+def running(df: DataFrame, order: list[str] | list[Column], amount: Column, name: str) -> DataFrame:
     """``df`` with the sum of ``amount`` over the rows before each in ``order``.
 
     The rows are stored in ranges of the order, a row of totals per range is
@@ -113,6 +113,6 @@ def running(df: DataFrame, order: list[str], amount: Column, name: str) -> DataF
     return rows.join(F.broadcast(totals), "_part").withColumn(name, sums).drop("_part", "_amount", "_offset")
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, order: list[str] | list[Column], name: str) -> DataFrame:
     """``df`` with each row's place in ``order``, from 0."""
     return running(df, order, F.lit(1).cast("long"), name)

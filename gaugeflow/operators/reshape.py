@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.operators.lookup import keep_one
+from gaugeflow.operators.order import numbered
 
 
 def melt(df: DataFrame, keys: list[str], measures: list[str], name: str = "parameter", value: str = "value") -> DataFrame:
@@ -88,10 +89,23 @@ def by_station_and_date(df: DataFrame) -> DataFrame:
     return df.orderBy("station_name", F.coalesce(F.col("date").cast("string"), F.lit("None")))
 
 
-def west_to_east(df: DataFrame, region: str = "region", lon: str = "lon") -> DataFrame:
-    """Sorted by region in the order rivers flow through them, then by longitude."""
-    first = F.min(lon).over(Window.partitionBy(region))
-    return df.withColumn("_first", first).orderBy("_first", lon).drop("_first")
+def _downstream(df: DataFrame, region: str, lon: str, ties: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with the least longitude of each row's region, and the order by it, longitude and ``ties``; nulls are last."""
+    firsts = df.groupBy(F.col(region).alias("_region")).agg(F.min(lon).alias("_first"))
+    placed = df.join(firsts, F.col(region).eqNullSafe(F.col("_region")), "left").drop("_region")
+    return placed, [F.col(c).asc_nulls_last() for c in ("_first", region, lon, *ties)]
+
+
+def west_to_east(df: DataFrame, region: str = "region", lon: str = "lon", ties: tuple[str, ...] = ()) -> DataFrame:
+    """Sorted by region in the order rivers flow through them, then by longitude and ``ties``."""
+    placed, by = _downstream(df, region, lon, ties)
+    return placed.orderBy(*by).drop("_first")
+
+
+def west_to_east_places(df: DataFrame, name: str, region: str = "region", lon: str = "lon", ties: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with each row's place in the order of ``west_to_east``, from 0; no single task sorts the rows."""
+    placed, by = _downstream(df, region, lon, ties)
+    return numbered(placed, by, name).drop("_first")
 
 
 def merged(frames: list[DataFrame], keys: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -659,10 +660,11 @@ def first_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""SELECT s_suppkey, (row_number() OVER (ORDER BY CASE WHEN lon < 81 THEN 1 WHEN lon < 87 THEN 2 ELSE 3 END, lon, s_suppkey) - 1)::INT AS place FROM (SELECT s_suppkey, 75 + s_nationkey * 0.5 + s_suppkey * 0.0001 AS lon FROM supplier)""")
 def west_to_east(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lon = 75 + F.col("s_nationkey") * 0.5 + F.col("s_suppkey") * 0.0001
+    # decimals, as in the SQL: equal longitudes are equal, and the key decides between them
+    lon = 75 + F.col("s_nationkey") * F.lit(Decimal("0.5")) + F.col("s_suppkey") * F.lit(Decimal("0.0001"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", lon.alias("lon")).withColumn("region", geo.region(F.col("lon")))
-    ordered = reshape.west_to_east(s).coalesce(1)
-    return ordered.select("s_suppkey", F.monotonically_increasing_id().cast("int").alias("place"))
+    placed = reshape.west_to_east_places(s, "place", ties=("s_suppkey",))
+    return placed.select("s_suppkey", F.col("place").cast("int").alias("place"))
 
 
 @register("""SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderstatus, coalesce(d, 'None'), o_orderkey) - 1)::INT AS place FROM (SELECT o_orderkey, o_orderstatus || o_orderkey AS o_orderstatus, CASE WHEN o_orderkey % 4 > 0 THEN o_orderdate::DATE::VARCHAR END AS d FROM orders WHERE o_orderkey < 800)""")

@@ -35,3 +35,11 @@ def test_query(spark, duck, name):
     names = [d[0] for d in cursor.description]
     assert sorted(names) == sorted(df.columns)
     assert canonical(cursor.fetchall(), names) == canonical(rows, df.columns)
+
+
+def test_west_to_east_with_equal_longitudes(spark, tmp_path):
+    """Longitudes repeat every 5,000 keys; some lie on the border of two regions."""
+    path = tmp_path / "supplier.parquet"
+    duckdb.execute(f"COPY (SELECT (i * 7919) % 12000 AS s_suppkey, (CASE WHEN i % 97 > 0 THEN i % 25 END)::INT AS s_nationkey FROM range(12000) r(i)) TO '{path}'")
+    rows = [tuple(r) for r in catalog.QUERIES["west_to_east"](spark, str(tmp_path)).collect()]
+    assert sorted(rows) == sorted(duckdb.sql(catalog.SQL["west_to_east"].replace("FROM supplier", f"FROM '{path}'")).fetchall())

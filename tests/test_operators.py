@@ -147,6 +147,16 @@ def test_tiers(spark):
     assert [(r.key, r.tier) for r in temporal.profiled_composite(readings, scenes, profiles, ["key"], ["B1"]).collect()] == [("u", 1)]
 
 
+def test_west_to_east(spark):
+    rows = [(1, "b", 5.0), (2, "a", 7.0), (3, "a", 6.0), (4, "b", 9.0), (5, "a", 6.0), (6, None, 5.5), (7, "a", None), (8, "c", None)]
+    df = spark.createDataFrame(rows, "id int, region string, lon double").repartition(3)
+    wanted = [1, 4, 6, 3, 5, 2, 7, 8]
+    assert [r.id for r in reshape.west_to_east(df, ties=("id",)).collect()] == wanted
+    placed = reshape.west_to_east_places(df, "place", ties=("id",))
+    assert placed.columns == [*df.columns, "place"] and sorted((r.place, r.id) for r in placed.collect()) == list(enumerate(wanted))
+    assert reshape.west_to_east_places(df.limit(0), "place").count() == 0
+
+
 STATION = "source string, source_station_id string, station_name string, river string, state string, latitude double, longitude double, _seq long"
 
 
