@@ -19,6 +19,12 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * RADIUS_KM) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
+def earth_xyz(lat: Column, lon: Column) -> list[Column]:
+    """A place in space, in km from the earth's centre: nothing is farther apart there than on the ground, at poles and date line too."""
+    p, q = F.radians(lat), F.radians(lon)
+    return [RADIUS_KM * F.cos(p) * F.cos(q), RADIUS_KM * F.cos(p) * F.sin(q), RADIUS_KM * F.sin(p)]
+
+
 def spatial_similarity(km: Column, threshold: float = 2.0) -> Column:
     """1 up to 0.1 km, falling to 0 at twice the threshold."""
     return F.when(km <= 0.1, 1.0).when(km >= 2 * threshold, 0.0).otherwise(1 - km / (2 * threshold))

@@ -75,12 +75,20 @@ def state_name(state: Column) -> Column:
     return F.coalesce(_lookup(schema.STATES, F.lower(F.trim(state))), title(F.trim(state)))
 
 
+def word_set(name: Column) -> Column:
+    """The distinct words of a name; none if it is empty."""
+    return F.filter(F.array_distinct(F.split(F.trim(name), r"\s+")), lambda w: w != "")
+
+
+def set_similarity(x: Column, y: Column) -> Column:
+    """Jaccard index of two arrays of distinct words; 0 if either is empty."""
+    same = F.size(F.array_intersect(x, y))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(same / (F.size(x) + F.size(y) - same))
+
+
 def token_similarity(a: Column, b: Column) -> Column:
     """Jaccard index of the words of two names; 0 if either is empty."""
-    x, y = F.array_distinct(F.split(F.trim(a), r"\s+")), F.array_distinct(F.split(F.trim(b), r"\s+"))
-    return F.when((F.trim(a) == "") | (F.trim(b) == ""), 0.0).otherwise(
-        F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
-    )
+    return set_similarity(word_set(a), word_set(b))
 
 
 def unit_name(unit: Column) -> Column:

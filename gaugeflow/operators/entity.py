@@ -16,43 +16,58 @@ from gaugeflow.scratch import materialize
 # Weights of name and place, least score to merge, km of the place's threshold.
 NAME_WEIGHT, PLACE_WEIGHT, MERGE = 0.4, 0.6, 0.7
 THRESHOLD_KM = 2.0
-#: Degrees of a grid cell; wider than the distance beyond which places aren't similar.
-CELL = 0.05
 
 
-def match_score(name_a: Column, name_b: Column, km: Column) -> Column:
+def match_score(words_a: Column, words_b: Column, km: Column) -> Column:
     near = F.coalesce(geo.spatial_similarity(km, THRESHOLD_KM), F.lit(0.0))
-    return text.token_similarity(name_a, name_b) * NAME_WEIGHT + near * PLACE_WEIGHT
+    return text.set_similarity(words_a, words_b) * NAME_WEIGHT + near * PLACE_WEIGHT
+
+
+def reach_km(least: float) -> float:
+    """The distance within which a score of ``least`` can be had by equal names, and a little more for rounding."""
+    return max(0.1, 2 * THRESHOLD_KM * (1 - (least - NAME_WEIGHT) / PLACE_WEIGHT)) + 1e-6
+
+
+def is_placed(lat: str, lon: str) -> Column:
+    return F.expr(f"{lat} IS NOT NULL AND {lon} IS NOT NULL AND {lat} <> 0 AND {lon} <> 0")
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, least: float = MERGE) -> DataFrame:
     """Pairs of stations (id, name, lat, lon) that score ``least`` or more: left_id, right_id, km, score.
 
-    A name alone scores at most the name's weight, so matches lie within the
-    similar distance.  Stations meet in cells of a grid and the neighbours of
-    their own, so there is no cross join.
+    A name alone scores at most the name's weight, so matches lie within a
+    distance.  Stations of equal names and places are compared once; these meet
+    in the cells of a grid in space that the distance touches, and get their
+    stations' ids afterwards.  There is no cross join.
     """
     if least <= NAME_WEIGHT:
         raise ValueError("a score that names alone can reach needs no place, so a grid can't find all pairs")
-
-    def cell(c: Column, width: Column | float = CELL) -> Column:
-        return F.floor(c / width)
-
-    # degrees of longitude shrink towards the poles; cells of a latitude band widen with it
-    band = cell(F.col("lat"))
-    lon_width = lambda b: F.lit(CELL) / F.greatest(F.cos(F.radians(F.least(F.abs(b * CELL) + 2 * CELL, F.lit(89.0)))), F.lit(0.01))
-    named = lambda df, p: df.where("lat IS NOT NULL AND lon IS NOT NULL AND lat <> 0 AND lon <> 0").select(
-        F.col("id").alias(f"{p}_id"), text.comparable_name(F.col("name")).alias(f"{p}_name"), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"),
-        band.alias("_own"), "lon",
-    )
-    around = named(left, "left").withColumn("_band", F.explode(F.array(*[F.col("_own") + d for d in (-1, 0, 1)])))
-    around = around.withColumn("_at", cell(F.col("lon"), lon_width(F.col("_band"))))
-    around = around.withColumn("_cell", F.explode(F.array(*[F.col("_at") + d for d in (-1, 0, 1)]))).drop("_own", "_at", "lon")
-    own = named(right, "right").select("*", F.col("_own").alias("_band")).withColumn("_cell", cell(F.col("lon"), lon_width(F.col("_own")))).drop("_own", "lon")
+    reach = reach_km(least)
+    width = 2 * reach
+
+    def stations(df: DataFrame, p: str) -> DataFrame:
+        return df.where(is_placed("lat", "lon") & F.col("name").isNotNull()).select(
+            F.col("id").alias(f"{p}_id"), text.comparable_name(F.col("name")).alias(f"{p}_name"), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon")
+        )
+
+    def places(df: DataFrame, p: str) -> DataFrame:
+        xyz = geo.earth_xyz(F.col(f"{p}_lat"), F.col(f"{p}_lon"))
+        found = df.select(f"{p}_name", f"{p}_lat", f"{p}_lon").distinct()
+        return found.select("*", text.word_set(F.col(f"{p}_name")).alias(f"{p}_words"), *[c.alias(f"{p}_{n}") for n, c in zip("xyz", xyz)])
+
+    left, right = stations(left, "left"), stations(right, "right")
+    around, own = places(left, "left"), places(right, "right")
+    for n in "xyz":
+        c = F.col(f"left_{n}")
+        around = around.withColumn(f"_{n}", F.explode(F.sequence(F.floor((c - reach) / width), F.floor((c + reach) / width))))
+        own = own.withColumn(f"_{n}", F.floor(F.col(f"right_{n}") / width))
+    gap = [F.col(f"left_{n}") - F.col(f"right_{n}") for n in "xyz"]
+    near = around.join(own, ["_x", "_y", "_z"]).where(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] <= reach * reach)
     km = geo.haversine_km(F.col("left_lat"), F.col("left_lon"), F.col("right_lat"), F.col("right_lon"))
-    pairs = around.join(own, ["_band", "_cell"]).withColumn("km", km)
-    score = match_score(F.col("left_name"), F.col("right_name"), F.col("km"))
-    return pairs.withColumn("score", score).where(F.col("score") >= least).select("left_id", "right_id", "km", "score")
+    score = match_score(F.col("left_words"), F.col("right_words"), F.col("km"))
+    keys = {p: [f"{p}_{c}" for c in ("name", "lat", "lon")] for p in ("left", "right")}
+    pairs = near.withColumn("km", km).withColumn("score", score).where(F.col("score") >= least).select(*keys["left"], *keys["right"], "km", "score")
+    return pairs.join(left, keys["left"]).join(right, keys["right"]).select("left_id", "right_id", "km", "score")
 
 
 def _comparable(name: str) -> set[str]:

@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -178,6 +179,51 @@ def test_grid_registry(spark):
     assert sorted(tuple(r) for r in entity.grid_registry(df).collect()) == [(1, 1), (2, 1), (3, 3)]
 
 
+NAMED = "id long, name string, lat double, lon double"
+
+
+def brute_pairs(left, right, least):
+    """Ids of all pairs that score ``least``."""
+    found = []
+    for i, a, *p in left:
+        for j, b, *q in right:
+            if a is None or b is None or not all(v and math.isfinite(v) for v in (*p, *q)):
+                continue
+            x, y, km = set(a.split()), set(b.split()), entity._km(p, q)
+            alike, near = len(x & y) / len(x | y) if x and y else 0.0, 1.0 if km <= 0.1 else max(0.0, 1 - km / 4)
+            if alike * 0.4 + near * 0.6 >= least:
+                found.append((i, j))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("least", [0.41, 0.55, 0.7, 0.95])
+def test_fuzzy_join_finds_all_pairs(spark, least):
+    """Places around a town, the date line, the equator and a pole, copies among them."""
+    random.seed(5)
+    odd = [("a b", None, 1.0), (None, 25.0, 85.0), ("a b", 0.0, 85.0), ("a b", float("nan"), 85.0), ("a b", 25.0, float("inf")), ("", 25.0, 85.0)]
+
+    def some(first):
+        rows = []
+        for lat, lon, wide in ((25.0, 85.0, 0.02), (10.0, 180.0, 0.02), (0.0, -60.0, 0.02), (89.99, 0.0, 180.0)):
+            for _ in range(40):
+                x = lon + random.uniform(-wide, wide)
+                rows.append((random.choice(["a b", "a c", "b a c", "d"]), min(90.0, lat + random.uniform(-0.02, 0.02)), x - 360 if x > 180 else x))
+        return [(first + i, *r) for i, r in enumerate(rows + rows[::5] + [("a b", 25.0, 85.0)] + odd)]
+
+    left, right = some(0), some(1000)
+    out = entity.fuzzy_join(spark.createDataFrame(left, NAMED), spark.createDataFrame(right, NAMED), least).collect()
+    assert sorted((r.left_id, r.right_id) for r in out) == brute_pairs(left, right, least)
+
+
+def test_fuzzy_join_compares_copies_once(spark):
+    """30,000 and 30,000 stations at forty near places: only the places are compared, not 900 million pairs."""
+    rows = spark.range(60_000).withColumn("at", F.col("id") % 40)
+    name = F.concat(F.lit("n"), F.when(F.col("id") == 59_999, 2).otherwise(F.col("at")))
+    rows = rows.select("id", name.alias("name"), (25 + F.col("at") * 0.0001).alias("lat"), F.lit(85.0).alias("lon"))
+    out = entity.fuzzy_join(rows.where("id % 2 = 0"), rows.where("id % 2 = 1")).collect()
+    assert sorted((r.left_id, r.right_id) for r in out) == [(i, 59_999) for i in range(2, 60_000, 40)]
+
+
 def test_lookup_fills_only_empty_and_last_wins(spark):
     df = spark.createDataFrame([("1.0", ""), ("2", "own"), ("9", None)], "station_id string, state string")
     st = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (2, "other", 3)], "station_id int, state string, _seq int")
