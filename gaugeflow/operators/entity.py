@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter, defaultdict
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions import geo, text
 from gaugeflow.functions.text import STOP_TERMS
+from gaugeflow.operators.order import numbered
 from gaugeflow.scratch import materialize
 
 # Weights of name and place, least score to merge, km of the place's threshold.
@@ -70,9 +73,9 @@ def fuzzy_join(left: DataFrame, right: DataFrame, least: float = MERGE) -> DataF
     return pairs.join(left, keys["left"]).join(right, keys["right"]).select("left_id", "right_id", "km", "score")
 
 
-def _comparable(name: str) -> set[str]:
+def _comparable(name: str) -> frozenset[str]:
     s = re.sub(STOP_TERMS, "", name.lower().strip())
-    return set(re.sub(r"[^a-z0-9\s]", "", s).split())
+    return frozenset(re.sub(r"[^a-z0-9\s]", "", s).split())
 
 
 def _km(a: tuple[float, float], b: tuple[float, float]) -> float:
@@ -87,64 +90,137 @@ REGISTRY = (
 )
 
 
-def _mode(values: list[str]) -> str:
+def _mode(values: Counter[str]) -> str:
     """The most frequent, the least of equals."""
-    return min(set(values), key=lambda v: (-values.count(v), v)) if values else ""
+    return min(values, key=lambda v: (-values[v], v), default="")
+
+
+#: Within ``REACH`` of a canonical station's mean place lies whatever merges with it, in cells of ``WIDTH`` km.
+REACH = reach_km(MERGE)
+WIDTH = 2 * REACH
+#: Two source stations that join a canonical station one after the other lie within ``REACH`` of its mean, which the
+#: first moved by half of ``REACH`` at most, so within 2.5 of it; the rest is for the rounding of the globe.
+HOP = 3 * REACH
+#: Degrees beyond which means of degrees may lie far from the places themselves.
+POLE, DATE_LINE = 89, 179
+
+
+def _cells(at: tuple[float, float], reach: float = 0.0) -> list[tuple[int, ...]]:
+    """The cells of the grid in space within ``reach`` km."""
+    p, q = map(math.radians, at)
+    xyz = math.cos(p) * math.cos(q), math.cos(p) * math.sin(q), math.sin(p)
+    spans = [(geo.RADIUS_KM * c - reach, geo.RADIUS_KM * c + reach) for c in xyz]
+    return list(product(*[range(math.floor(low / WIDTH), math.floor(high / WIDTH) + 1) for low, high in spans]))
+
+
+def _alike(words: frozenset[str], others: dict[frozenset[str], None]) -> float:
+    if not words or words in others:
+        return float(bool(words))
+    return max((len(words & other) / len(words | other) for other in others if other), default=0.0)
 
 
 def _registry(frame: pd.DataFrame) -> pd.DataFrame:
-    """Canonical stations of source stations in order, each merged with the best match so far."""
+    """Canonical stations of source stations in order, each merged with the best match so far.
+
+    Only stations in cells within reach are compared, and a name and place that
+    came before only if something in these cells has changed since.
+    """
     known: list[dict] = []
+    inside: dict[tuple, set[int]] = defaultdict(set)
+    changes: Counter[tuple] = Counter()
+    seen: dict[tuple, tuple] = {}
     chosen = []
-    for row in frame.sort_values("_seq").itertuples():
+    for row in frame.sort_values("place").itertuples():
         name, lat, lon = row.station_name or "", row.latitude, row.longitude
         lat = None if lat is None or math.isnan(lat) else lat
         lon = None if lon is None or math.isnan(lon) else lon
-        words, best, score = _comparable(name), None, 0.0
-        for k, station in enumerate(known):
-            near = 0.0
-            if lat and lon and station["lats"] and station["lons"]:
-                at = sum(station["lats"]) / len(station["lats"]), sum(station["lons"]) / len(station["lons"])
-                km = _km((lat, lon), at)
+        if (key := (name, lat, lon)) not in seen:
+            placed = lat and lon and math.isfinite(lat) and math.isfinite(lon)
+            seen[key] = _comparable(name), _cells((lat, lon), REACH) if placed else [], None, -1
+        words, cells, best, state = seen[key]
+        if (now := sum(changes[c] for c in cells)) != state:
+            best, score = None, 0.0
+            for k in sorted(set().union(*[inside.get(c, ()) for c in cells])):
+                km = _km((lat, lon), known[k]["at"])
                 near = 1.0 if km <= 0.1 else max(0.0, 1 - km / (2 * THRESHOLD_KM))
-            for other in station["words"]:
-                alike = len(words & other) / len(words | other) if words and other else 0.0
-                if (s := alike * NAME_WEIGHT + near * PLACE_WEIGHT) > score:
+                if NAME_WEIGHT + near * PLACE_WEIGHT > score and (s := _alike(words, known[k]["words"]) * NAME_WEIGHT + near * PLACE_WEIGHT) > score:
                     best, score = k, s
-        if best is None or score < MERGE:
-            known.append({"names": [], "words": [], "lats": [], "lons": [], "rivers": [], "states": [], "n": 0})
-            best = len(known) - 1
+            best = best if score >= MERGE else None
+            seen[key] = words, cells, best, now
+        if best is None:
+            best = len(known)
+            known.append({"names": {}, "words": {}, "lats": {}, "lons": {}, "at": None, "cell": None, "rivers": Counter(), "states": Counter(), "n": 0, "founder": row.place})
         station = known[best]
-        for key, value in (("names", name), ("lats", lat), ("lons", lon)):
-            if value and value not in station[key]:
-                station[key].append(value)
-                if key == "names":
-                    station["words"].append(words)
-        station["rivers"] += [row.river] if row.river else []
-        station["states"] += [row.state] if row.state else []
+        fresh = [(held, value) for held, value in (("names", name), ("lats", lat), ("lons", lon)) if value and value not in station[held]]
+        for held, value in fresh:
+            station[held][value] = None
+        if fresh and cells:
+            if name:
+                station["words"][words] = None
+            station["at"] = sum(station["lats"]) / len(station["lats"]), sum(station["lons"]) / len(station["lons"])
+            cell = _cells(station["at"])[0]
+            inside[station["cell"]].discard(best)
+            inside[cell].add(best)
+            changes.update({station["cell"], cell})
+            station["cell"] = cell
+        station["rivers"].update([row.river] if row.river else [])
+        station["states"].update([row.state] if row.state else [])
         station["n"] += row.n
         chosen.append((row.source, row.source_station_id, best))
     mean = lambda v: sum(v) / len(v) if v else None
-    out = [
-        (source, sid, f"WQ_{k + 1:05d}", max(s["names"], key=len, default=""), _mode(s["rivers"]), _mode(s["states"]), mean(s["lats"]), mean(s["lons"]), s["n"])
-        for source, sid, k in chosen for s in (known[k],)
+    best_of = [
+        (s["founder"], max(s["names"], key=len, default=""), _mode(s["rivers"]), _mode(s["states"]), mean(s["lats"]), mean(s["lons"]), s["n"]) for s in known
     ]
-    return pd.DataFrame(out, columns=[c.split()[0] for c in REGISTRY.split(", ")])
+    return pd.DataFrame([(source, sid, *best_of[k]) for source, sid, k in chosen], columns=[c.split()[0] for c in FOUND.split(", ")])
+
+
+#: What ``_registry`` returns: the place of a canonical station's first source station stands for its number.
+FOUND = REGISTRY.replace("canonical_id string", "_founder long")
+
+
+def _split(reps: DataFrame, groups: int) -> DataFrame:
+    """``reps`` with ``_group``; source stations of different groups can't meet in a canonical station.
+
+    Successive members of one lie within ``HOP``, so they are in equal or
+    neighbouring cells that wide, and cells joined by neighbours stay together.
+    Stations without a place meet none.  Near a pole or the date line means of
+    degrees can be far off, so then all is one group.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) & (F.col(c) != 0)
+    placed = finite("latitude") & finite("longitude")
+    if not reps.where(placed & ((F.abs("latitude") > POLE) | (F.abs("longitude") > DATE_LINE))).isEmpty():
+        return reps.withColumn("_group", F.lit(0).cast("long"))
+    side = 2 * math.ceil(geo.RADIUS_KM / HOP) + 4  # cells along an axis, beyond the globe's by one on each side
+    x, y, z = [F.floor(c / HOP) + side // 2 for c in geo.earth_xyz(F.col("latitude"), F.col("longitude"))]
+    celled = reps.withColumn("_cell", F.when(placed, (x * side + y) * side + z))
+    cells = materialize(celled.where("_cell IS NOT NULL").select("_cell").distinct(), "cells")
+    steps = [step for i, j, k in product((-1, 0, 1), repeat=3) if (step := (i * side + j) * side + k) > 0]
+    ends = cells.select(F.explode(F.array(*[F.col("_cell") + s for s in steps])).alias("a"), F.col("_cell").alias("b"))
+    labels = _components(ends.join(cells.select(F.col("_cell").alias("a")), "a").select("a", "b"))
+    joined = celled.join(labels.select(F.col("id").alias("_cell"), "root"), "_cell", "left")
+    together = F.coalesce("root", "_cell", -1 - F.col("place"))
+    return joined.withColumn("_group", F.pmod(F.xxhash64(together), F.lit(groups))).drop("_cell", "root")
 
 
 def station_registry(df: DataFrame, most: int = 50_000) -> DataFrame:
     """Canonical stations by merging source stations greedily in the order they appear.
 
-    The order decides, so one task walks through the source stations: a row per
-    station, not per reading.  Beyond ``most`` of them use ``grid_registry``.
+    The order decides, so a task walks through source stations: a row per
+    station, not per reading.  Beyond ``most`` of them, those that can't meet
+    are dealt to several tasks; the result is the same.
     """
     reps = df.groupBy("source", "source_station_id").agg(
         F.min_by(F.struct("station_name", "river", "state", "latitude", "longitude"), "_seq").alias("r"), F.min("_seq").alias("_seq"), F.count(F.lit(1)).alias("n")
     )
     reps = reps.select("source", "source_station_id", "r.*", "_seq", "n")
-    if reps.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} source stations; use grid_registry")
-    return reps.groupBy(F.lit(1).alias("_all")).applyInPandas(_registry, REGISTRY)
+    reps = numbered(reps, [F.col("_seq").asc_nulls_last(), F.col("source"), F.col("source_station_id")], "place")
+    n = reps.count()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = reps.withColumn("_group", F.lit(0).cast("long")) if n <= most else _split(reps, parts * math.ceil(n / most))
+    found = materialize(grouped.groupBy("_group").applyInPandas(_registry, FOUND), "registry")
+    numbers = numbered(found.select("_founder").distinct(), ["_founder"], "_number")
+    named = found.join(numbers, "_founder").withColumn("canonical_id", F.format_string("WQ_%05d", F.col("_number") + 1))
+    return named.select(*[c.split()[0] for c in REGISTRY.split(", ")])
 
 
 def grid_registry(df: DataFrame) -> DataFrame:

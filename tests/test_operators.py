@@ -174,6 +174,67 @@ def test_registry(spark):
     assert {r.station_id for r in applied.where("source = 'b'").collect()} == {"WQ_00001"}
 
 
+def brute_registry(rows):
+    """Source station -> (canonical id, name, river, state, mean place, records): every one compared with all canonical stations so far."""
+    known, chosen = [], {}
+    for source, sid, name, river, state, lat, lon, seq in sorted(rows, key=lambda r: r[-1]):
+        name, lat, lon = name or "", *[None if v is None or math.isnan(v) else v for v in (lat, lon)]
+        words, best, score = entity._comparable(name), None, 0.0
+        for k, s in enumerate(known):
+            near = 0.0
+            if lat and lon and s["lats"] and s["lons"]:
+                km = entity._km((lat, lon), (sum(s["lats"]) / len(s["lats"]), sum(s["lons"]) / len(s["lons"])))
+                near = 1.0 if km <= 0.1 else max(0.0, 1 - km / 4)
+            for other in map(entity._comparable, s["names"]):
+                alike = len(words & other) / len(words | other) if words and other else 0.0
+                if alike * 0.4 + near * 0.6 > score:
+                    best, score = k, alike * 0.4 + near * 0.6
+        if best is None or score < 0.7:
+            best = len(known)
+            known.append({"names": [], "lats": [], "lons": [], "rivers": [], "states": [], "n": 0})
+        s = known[best]
+        for held, value in (("names", name), ("lats", lat), ("lons", lon)):
+            if value and value not in s[held]:
+                s[held].append(value)
+        s["rivers"] += [river] if river else []
+        s["states"] += [state] if state else []
+        s["n"] += 1
+        chosen[source, sid] = best
+    mode = lambda v: min(set(v), key=lambda x: (-v.count(x), x)) if v else ""
+    mean = lambda v: sum(v) / len(v) if v else None
+    out = [(f"WQ_{i + 1:05d}", max(s["names"], key=len, default=""), mode(s["rivers"]), mode(s["states"]), mean(s["lats"]), mean(s["lons"]), s["n"]) for i, s in enumerate(known)]
+    return sorted((source, sid, *out[k]) for (source, sid), k in chosen.items())
+
+
+@pytest.mark.parametrize("border", [False, True])
+def test_registry_beyond_one_task(spark, border):
+    """Towns, chains of drifting means, copies, stations without a place; with ``border`` some across the date line, whose means lie elsewhere."""
+    random.seed(11)
+    towns = [(random.uniform(20, 30), random.uniform(70, 90)) for _ in range(12)] + [(10.0, 0.03), (-33.0, -70.0)]
+    rows = []
+    for i in range(700):
+        lat, lon = random.choice(towns)
+        lat, lon = lat + random.choice([0.0, random.uniform(-0.06, 0.06)]), lon + random.choice([0.0, 0.001, random.uniform(-0.06, 0.06)])
+        if border and i % 9 == 0:
+            lat, lon = 10 + random.uniform(-0.01, 0.01), random.choice([-1, 1]) * random.uniform(179.99, 180)
+        if i % 31 == 0:
+            lat, lon = random.choice([(None, lon), (lat, 0.0), (float("nan"), lon), (None, None)])
+        name = random.choice(["Ganga at Patna", "Ganga at Gaya", "Patna", "Ganga Ghat Patna", "Yamuna", "WQ Station", "", None])
+        rows.append((f"s{i % 3}", str(i), name, random.choice(["Ganga", "Yamuna", "", None]), random.choice(["Bihar", "Delhi", None]), lat, lon, (i * 389) % 701))
+    df = spark.createDataFrame(rows, STATION).repartition(3)
+    wanted = brute_registry(rows)
+    assert 20 < len({r[2] for r in wanted}) < 650
+    for most in (50_000, 100):
+        assert sorted(tuple(r) for r in entity.station_registry(df, most).collect()) == wanted
+
+
+def test_registry_deals_apart_what_cannot_meet(spark):
+    rows = [(i, 20 + i % 5 * 0.03, 80 + i // 5 * 0.5) for i in range(50)] + [(i, None, None) for i in range(50, 60)]
+    reps = spark.createDataFrame(rows, "place long, latitude double, longitude double")
+    groups = {r.place: r._group for r in entity._split(reps, 1_000_000_007).collect()}
+    assert all(len({groups[5 * k + j] for j in range(5)}) == 1 for k in range(10)) and len(set(groups.values())) == 20
+
+
 def test_grid_registry(spark):
     df = spark.createDataFrame([(1, "a b", 25.0, 85.0), (2, "a b", 25.001, 85.0), (3, "a b", 26.0, 85.0)], "id long, name string, lat double, lon double")
     assert sorted(tuple(r) for r in entity.grid_registry(df).collect()) == [(1, 1), (2, 1), (3, 3)]
