@@ -65,12 +65,13 @@ def fuzzy_join(left: DataFrame, right: DataFrame, least: float = MERGE) -> DataF
         around = around.withColumn(f"_{n}", F.explode(F.sequence(F.floor((c - reach) / width), F.floor((c + reach) / width))))
         own = own.withColumn(f"_{n}", F.floor(F.col(f"right_{n}") / width))
     gap = [F.col(f"left_{n}") - F.col(f"right_{n}") for n in "xyz"]
-    near = around.join(own, ["_x", "_y", "_z"]).where(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] <= reach * reach)
+    # files say too little of the rows in memory, and a side that is broadcast by their size can be more than the driver holds
+    near = around.join(own.hint("merge"), ["_x", "_y", "_z"]).where(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] <= reach * reach)
     km = geo.haversine_km(F.col("left_lat"), F.col("left_lon"), F.col("right_lat"), F.col("right_lon"))
     score = match_score(F.col("left_words"), F.col("right_words"), F.col("km"))
     keys = {p: [f"{p}_{c}" for c in ("name", "lat", "lon")] for p in ("left", "right")}
     pairs = near.withColumn("km", km).withColumn("score", score).where(F.col("score") >= least).select(*keys["left"], *keys["right"], "km", "score")
-    return pairs.join(left, keys["left"]).join(right, keys["right"]).select("left_id", "right_id", "km", "score")
+    return pairs.join(left.hint("merge"), keys["left"]).join(right.hint("merge"), keys["right"]).select("left_id", "right_id", "km", "score")
 
 
 def _comparable(name: str) -> frozenset[str]:
